@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup
+from . import chunking, leakage, neardup, packing
 
 #: TESTDATA.md: three-word sequences, 60 % in common, at least 20 words.
 NEAR = {"n": 3, "threshold": 0.6, "min_words": 20}
@@ -33,5 +33,36 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(links, members, "md5")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-ORACLE: dict[str, str] = {}
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each record with more than 4 000 characters."""
+    return chunking.pieces(contents(spark, d), "md5", "text_content").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The records that were cut."""
+    return chunking.pieces(contents(spark, d), "md5", "text_content", with_text=False).where("piece_no = 2").select("md5").distinct()
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The context window of each document or piece of one."""
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Windows used, the least number possible by their tokens, and the part of them that is filled."""
+    total = p8_windows(spark, d).agg(F.sum("n_tokens").alias("n_tokens"), (F.max("window_id") + 1).alias("n_windows"))
+    return total.select("n_tokens", "n_windows", F.ceil(F.col("n_tokens") / 2048).alias("least_windows"), F.round(F.col("n_tokens") / (F.col("n_windows") * 2048), 6).alias("filled"))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the items it contains and how much of them."""
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with each item of which it has at least 12 words in a row."""
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_pieces, p8_windows, p8_report, p9_found, p9_leaks)}
+ORACLE = {"p5_found": "select distinct md5 from content_index where length(text_content) > 4000"}
