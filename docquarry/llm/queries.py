@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chunking, leakage, neardup, packing
+from . import chunking, leakage, neardup, packing, transcripts
 
 #: TESTDATA.md: three-word sequences, 60 % in common, at least 20 words.
 NEAR = {"n": 3, "threshold": 0.6, "min_words": 20}
@@ -43,6 +43,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces(contents(spark, d), "md5", "text_content", with_text=False).where("piece_no = 2").select("md5").distinct()
 
 
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The clean turns of each transcript."""
+    return transcripts.speaker_turns(contents(spark, d), "md5", "text_content").distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The speaker of each turn."""
+    return p6_turns(spark, d).select("md5", "turn_no", "speaker").distinct()
+
+
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     """The context window of each document or piece of one."""
     return packing.pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -64,5 +74,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_pieces, p8_windows, p8_report, p9_found, p9_leaks)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_turns, p8_windows, p8_report, p9_found, p9_leaks)}
 ORACLE = {"p5_found": "select distinct md5 from content_index where length(text_content) > 4000"}
