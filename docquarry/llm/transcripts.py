@@ -36,7 +36,7 @@ _T = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?|\d+(?:[.,]\d+)?\s?s(?:ec)?"
 _CUE = re.compile(rf"^\s*({_T})\s*-->\s*({_T})")
 _ALONE = re.compile(rf"^[\[(]?({_T})[\])]?$")
 _VOICE = re.compile(r"^<v(?:\.[^\s>]*)?\s+([^>]+)>(.*)$")
-_LINE = re.compile(rf"^(?P<mark>>>\s*)?(?:[\[(](?P<t1>{_T})[\])]\s*)?(?P<mark2>>>\s*)?(?P<label>[^\s:<>\[({{*♪][^:<>\n]{{0,58}}?)\s*(?:[\[(](?P<t2>{_T})[\])])?\s*(?P<sep>:| [–—-])(?:\s+(?P<text>.*))?$")
+_LINE = re.compile(rf"^(?P<mark>>>\s*)?(?:[\[(](?P<t1>{_T})[\])]\s*)?(?P<mark2>>>\s*)?(?P<label>[^\s:<>\[({{*♪•–—-][^:<>\n]{{0,58}}?)\s*(?:[\[(](?P<t2>{_T})[\])])?\s*(?P<sep>:| [–—-])(?:\s+(?P<text>.*))?$")
 _BARE = re.compile(rf"^[\[(](?P<t>{_T})[\])]\s*(?P<text>.*)$")
 _NUMBER = re.compile(rf"^(?:{NUMBERED})[\s._#-]*0*(\d{{1,3}})$")
 _REMARK = re.compile(r"\s*[\[({][^\])}]*[\])}]")
