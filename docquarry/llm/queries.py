@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chunking, leakage, neardup, packing, transcripts
+from . import chunking, encoding, leakage, neardup, packing, transcripts
 
 #: TESTDATA.md: three-word sequences, 60 % in common, at least 20 words.
 NEAR = {"n": 3, "threshold": 0.6, "min_words": 20}
@@ -53,6 +53,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_turns(spark, d).select("md5", "turn_no", "speaker").distinct()
 
 
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected records, with the original text where nothing was lost."""
+    return encoding.restored(contents(spark, d), "md5", "text_content")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The records with a garbled part."""
+    return encoding.garbled(contents(spark, d), "md5", "text_content").select("md5").distinct()
+
+
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     """The context window of each document or piece of one."""
     return packing.pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -74,5 +84,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_turns, p8_windows, p8_report, p9_found, p9_leaks)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks)}
 ORACLE = {"p5_found": "select distinct md5 from content_index where length(text_content) > 4000"}
