@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chunking, encoding, leakage, neardup, packing, transcripts
+from . import chunking, encoding, leakage, neardup, packing, scans, transcripts
 
 #: TESTDATA.md: three-word sequences, 60 % in common, at least 20 words.
 NEAR = {"n": 3, "threshold": 0.6, "min_words": 20}
@@ -33,6 +33,20 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(links, members, "md5")
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "content_index").select("md5", "text_content", "ocr_used")
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned records as continuous paragraphs."""
+    return scans.paragraphs(_scans(spark, d), "md5", "text_content", "ocr_used").distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged lines of scanned records."""
+    return scans.damage(_scans(spark, d), "md5", "text_content", "ocr_used").distinct()
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of each record with more than 4 000 characters."""
     return chunking.pieces(contents(spark, d), "md5", "text_content").distinct()
@@ -84,5 +98,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks)}
 ORACLE = {"p5_found": "select distinct md5 from content_index where length(text_content) > 4000"}
