@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chunking, encoding, leakage, neardup, packing, scans, transcripts
+from . import chunking, encoding, leakage, neardup, packing, personal, scans, transcripts
 
 #: TESTDATA.md: three-word sequences, 60 % in common, at least 20 words.
 NEAR = {"n": 3, "threshold": 0.6, "min_words": 20}
@@ -98,5 +98,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each piece of personal information of each document."""
+    return personal.found(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "val").distinct()
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    return personal.masked(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks, p10_found, p10_masked)}
 ORACLE = {"p5_found": "select distinct md5 from content_index where length(text_content) > 4000"}
