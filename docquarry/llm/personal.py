@@ -43,15 +43,15 @@ _PHONES = [
     r"(?:\+1[ .-]?)?(?:\([2-9]\d\d\)\s?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}",
     r"(?:\+44[ -]?(?:\(0\)[ -]?)?|\(?0)(?:20\)?[ -]?\d{4}[ -]?\d{4}|1\d{2,3}\)?[ -]?\d{3}[ -]?\d{3,4}|[37]\d{2,3}[ -]?\d{3}[ -]?\d{3,4})",
     r"(?:\+33[ .-]?(?:\(0\)[ .-]?)?|0)[1-9](?:[ .-]?\d\d){4}",
-    r"(?:\+34[ .-]?)?[6789]\d\d[ .-]?\d{3}[ .-]?\d{3}",
+    r"(?:(?:\+34|\(\+34\)|0034)[ .-]?)?[6789]\d\d[ .-]?\d{3}[ .-]?\d{3}",
     r"(?:\+34[ .-]?)?[6789]\d\d(?:[ .-]?\d\d){3}",
-    r"(?:\+49[ -]?(?:\(0\)[ -]?)?|\(?0)[1-9]\d{1,3}\)?[ /-]{1,3}\d{3,6}(?:[ -]\d{2,4})?",
+    r"(?:(?:\+|00)49[ /-]?(?:\(0\)[ -]?)?|\(?0)[1-9]\d{1,3}\)?[ /-]{1,3}\d{3,8}(?:[ -]\d{2,4})?",
     r"(?:\+86[ -]?)?(?:\(0?\d{2,3}\)|0\d{2,3}|(?<=\+86 )\d{2,3})[ -]?\d{4}[ -]?\d{4}",
     r"(?:\+86[ -]?)?1[3-9]\d[ -]?\d{4}[ -]?\d{4}",
-    r"\+\d{1,3}[ .-](?:\(?\d{1,4}\)?[ .-]){1,4}\d{2,4}",
+    r"(?:\(\+\d{1,3}\)|\+\d{1,3}|00[1-9]\d)[ ./-]?(?:\(?\d{1,4}\)?[ .-]){1,4}\d{2,4}",
 ]
-_PHONE = re.compile("|".join(f"(?:{p})" for p in _PHONES))
-_NUMBERISH = re.compile(r"(?<![\w+(])(?:\+|\(0?)?\d[\d \xa0\n().\-/]{7,22}\d(?![\w])|(?<=[一-鿿])(?:\+|\(0?)?\d[\d \xa0().\-/]{7,22}\d")
+_PHONE = [re.compile(p) for p in _PHONES]
+_NUMBERISH = re.compile(r"(?<![\w+(])(?:\(\+|\+|\(0?)?\d[\d \xa0\n().\-/]{7,22}\d(?![\w])|(?<=[一-鿿])(?:\(\+|\+|\(0?)?\d[\d \xa0().\-/]{7,22}\d")
 _IDS = [
     r"\d{3}-\d{2}-\d{4}", r"\d{3} \d{2} \d{4}", r"\d{9}",
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]",
@@ -67,7 +67,7 @@ _TOWN1 = r"[A-ZÀ-ÞÄÖÜ][^\W\d_]+(?:-[A-ZÀ-ÞÄÖÜ][^\W\d_]+)*"
 _POST_EN = r"(?:[A-Z]{2} ?\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z0-9]? \d[A-Z]{2})"
 _ADDRESSES = [
     rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s\w{{1,5}},\s+)?\d{{1,4}}[a-zA-Z]?,?\s(?:[A-Z][^\W\d_]+\s){{1,3}}(?:{_STREET_EN})\b\.?(?:,\s+(?:(?:Flat|Apt\.?|Unit|Suite)\s\w{{1,5}},\s+)?{_TOWN1}(?:,?\s+{_POST_EN}\b)?)?",
-    rf"\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-zA-Z])\b)?,?\s+(?:{_STREET_FR})\b\.?\s[^,;:.\d\n]{{2,40}}(?:(?:,\s+|\s)\d{{5}}\s+{_TOWN1})?",
+    rf"\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-zA-Z])\b)?,?\s+(?:{_STREET_FR})\b\.?\s(?:(?:de|du|des|la|le|les)\s|(?:l|d)[’'])*[A-ZÀ-Þ][\w’'-]+(?:[ -](?:(?:de|du|des|la)\s)?[A-ZÀ-Þ][\w’'-]+)*(?:(?:,\s+|\s)\d{{5}}\s+{_TOWN1})?",
     rf"(?:[A-ZÄÖÜ][^\W\d_]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|graben|steig|markt|hof)|(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den|Alte[r]?|Neue[r]?)\s[A-ZÄÖÜ][^\W\d_]+)\s+\d{{1,4}}(?:\s?[a-h]\b)?(?:,\s+(?:\d{{5}}\s+)?{_TOWN1})?",
     rf"(?:{_STREET_ES})\.?(?<!\w)?\s(?:(?:de|del|de la|de los|de las)\s)?[^,;:.\d\n]{{2,30}}?,?\s+(?:n\.?[ºo°]\s?)?\d{{1,4}}(?:,\s+\d{{1,2}}\.?[ºª°]\.?\s?[A-Za-z]{{0,3}}\b)?(?:,\s+\d{{5}}\s+{_TOWN1})?",
     r"(?:[一-鿿]{1,6}?(?:省|市|区|县|镇))*[一-鿿]{1,6}?(?:街|路|巷|大道|弄|胡同)\s?\d{1,5}\s?号(?:\s?\d{1,4}\s?(?:单元|室|楼|栋|号楼|层))*",
@@ -84,7 +84,7 @@ _LETTERS = r"[^\W\d_]"
 _G = "|".join(sorted({n for g in GIVEN.split() for n in (g, g.upper())}, key=len, reverse=True))
 _FAMILY = rf"(?:(?:van|von|de|del|della|di|der|den|la|le|VAN|VON|DE)\s+){{0,2}}(?=[A-ZÀ-ÞŁŠŽ]){_LETTERS}{{2,}}(?:[-'’](?=[A-ZÀ-ÞŁŠŽ]){_LETTERS}{{2,}})*"
 _GIVENS = rf"(?:{_G})(?:-(?:{_G}))*"
-_NAME = re.compile(rf"(?<![\w@-])(?:(?P<g>{_GIVENS})(?:\s+[A-ZÀ-Þ]\.)*\s+(?P<f>{_FAMILY})|(?P<f2>{_FAMILY}),\s(?P<g2>{_GIVENS})(?:\s[A-ZÀ-Þ]\.(?=\W|$))*)(?![\w@])")
+_NAME = re.compile(rf"(?<![\w@-])(?:(?P<g>{_GIVENS})(?:\s+[A-ZÀ-Þ]\.)*\s+(?P<f>{_FAMILY})|(?P<f2>{_FAMILY}),\s(?P<g2>{_GIVENS})(?:\s[A-ZÀ-Þ]\.(?=\W|$))*(?! +(?:(?:[A-Z]\. +)+[A-ZÀ-Þ]|(?:van |von |de )?[A-ZÀ-Þ]{_LETTERS}{{2}}|[A-ZÀ-Þ]\. ?[A-ZÀ-Þ])))(?![\w@-])")
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|M|Mme|Mlle|Sr|Sra|señora?|Señora?|Monsieur|Madame)\.?)\s$")
 _MEETING = re.compile(r"(?i)(?:ask|with|contact:|to:|to|regards,|by|says|an|bei|sie|à|avec|a|las tiene|demander|cordialement,|grüßen|saludo,|login|from|and|et|und|y|,|;|\"|\t|/|\()\s*$")
 NOT_FAMILY = frozenset("the a an and or der die das und le la les et el los las y il in on at for von with date subject release see no both two what please if there nobody contact invoice call send my dr mr ms herr frau street road was is".split())
@@ -128,31 +128,38 @@ def spans(text: str, may: frozenset) -> list[Span]:
         for m in _ID.finditer(text):
             s = m[0]
             before, after = _context(text, *m.span())
-            near = bool(_SAYS_ID.search(before)) and not re.search(r"[.!?。]\s+[A-Z][a-z]+ ", re.sub(r"\bno\. ", "", before.split(":")[-1])[-25:])
+            said = [x.end() for x in _SAYS_ID.finditer(before)]
+            between = before[said[-1] :] if said else ""
+            near = bool(said) and len(between) <= 25 and not re.search(r"[.!?。]\s+[A-Z][a-z]", between)
             shape = bool(re.search(r"[A-Z]", s)) and sum(c.isdigit() for c in s) >= 6 or len(re.sub(r"\D", "", s)) in (15, 17, 18)
-            joined = bool(re.search(r"[\d.,/-]\s?$", before) and not before.endswith((". ", ", ", ".: "))) or bool(re.match(r"[-/.,]?\d|[-/][A-Za-z]", after))
-            out.append(Span("id_number", *m.span(), _bits(near, shape, not joined, not _OUT.search(before), near and len(before) - max(x.end() for x in _SAYS_ID.finditer(before)) < 14 if near else False)))
+            joined = bool(re.search(r"[\d.,/-]\s?\Z", before) and not before.endswith((". ", ", ", ".: "))) or bool(re.match(r"[-/.,]?\d|[-/][A-Za-z]", after))
+            out.append(Span("id_number", *m.span(), _bits(near, shape, not joined, not _OUT.search(before), near and len(between) < 14)))
     if "phone" in may:
         for n in _NUMBERISH.finditer(text):
-            m = _PHONE.search(text, n.start(), n.end())
-            while m:
-                s = m[0]
-                before, after = _context(text, *m.span())
-                digits = len(re.sub(r"\D", "", s))
-                joined = bool(re.search(r"[\d+(][ .\-/(]?$|[A-Za-z\-.]$", before)) or bool(re.match(r"[ .\-/]?\d{2}|\d|-[A-Za-z]", after))
-                full = any(re.fullmatch(p, s) for p in _PHONES[:8])
-                out.append(Span("phone", *m.span(), _bits(full and 8 <= digits <= 13, s[0] in "+(0" or bool(re.search(r"[ .-]", s)), bool(_CALL.search(before)) or _lone(before, after), not joined, not _OUT.search(before) and not _SAYS_ID.search(before[-24:]))))
-                m = _PHONE.search(text, m.end(), n.end())
+            at = n.start()
+            while at < n.end():
+                start, end = min(((m.start(), -m.end()) for p in _PHONE if (m := p.search(text, at, n.end()))), default=(-1, 0))
+                if start < 0:
+                    break
+                m, at = text[start:-end], -end
+                before, after = _context(text, start, at)
+                if re.search(r"(?:[\d+(][ .\-/(]?|[A-Za-z\-.])\Z", before) or re.match(r"[ .\-/]?\d{2}|\d|-[A-Za-z]", after):
+                    continue
+                digits = len(re.sub(r"\D", "", m))
+                full = any(p.fullmatch(m) for p in _PHONE[:8])
+                out.append(Span("phone", start, at, _bits(full and 8 <= digits <= 14, m[0] in "+(0" or bool(re.search(r"[ .-]", m)), bool(_CALL.search(before)) or _lone(before, after), not _SAYS_ID.search(before[-24:]), not _OUT.search(before))))
     for i, pattern in enumerate(_ADDRESS):
         if f"address_{i}" not in may:
             continue
         for m in pattern.finditer(text):
             s = m[0].rstrip(" ,")
-            before, after = _context(text, m.start(), m.start() + len(s), 60)
+            cut = max((x.end() for x in re.finditer("寄往|住在|地址(?:是|为)?|位于|送到|送往|寄到|搬到", s)), default=0)
+            begin, s = m.start() + cut, s[cut:]
+            before, after = _context(text, begin, begin + len(s), 60)
             town = bool(re.search(rf"(?:,|\d{{5}})\s+{_TOWN1}(?:,?\s+{_POST_EN})?$", s)) or i == 4
             post = bool(re.search(rf"\d{{5}}\s+{_TOWN1}$|{_POST_EN}$", s)) or i == 4
             living = bool(_LIVE.search(before)) or _lone(before, after)
-            out.append(Span("address", m.start(), m.start() + len(s), _bits(True, town, post, living, not re.search(r"\d[.,-]$", before))))
+            out.append(Span("address", begin, begin + len(s), _bits(True, town, post, living, not re.search(r"\d[.,-]\Z", before))))
     if "name" in may:
         at = 0
         while m := _NAME.search(text, at):
