@@ -366,8 +366,10 @@ SAMPLE = 200
 
 def fitted(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
     """A model trained on a bounded sample of the table's transcripts with complete marks."""
-    marked = df.where(F.col(text).rlike(r"(?m)^(<v |>>|\[\d|\d+:\d\d|[^\n:]{2,40}\(\d)") & (F.char_length(text) < 20_000)).select(F.xxhash64(key).alias("h"), text)
-    return train([r[0] for r in marked.orderBy("h", text).limit(sample).select(text).collect()])
+    marked = df.where(F.col(text).rlike(r"(?m)^(<v |>>|\[\d|\d+:\d\d|[^\n:]{2,40}\(\d)") & (F.char_length(text) < 20_000))
+    chosen = [r[0] for r in marked.select(key, F.xxhash64(key).alias("h")).distinct().orderBy("h", key).limit(sample).select(key).collect()]
+    texts = marked.where(F.col(key).isin(chosen)).select(key, text).dropDuplicates([key]) if chosen else marked.limit(0).select(key, text)
+    return train([r[1] for r in sorted(texts.collect())])
 
 
 def speaker_turns(df: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
