@@ -41,12 +41,13 @@ def is_repetitive(text: Column | str) -> Column:
     return (F.octet_length(t) >= 100) & (n >= 3) & (repetition_ratio(t) > 0.6)
 
 
+#: White space, addresses, long hexadecimal runs, dates and times, and numbers of up to four digits.
+_PASSING = re.compile(r"\s+|http\S*|[0-9A-Fa-f]{30,}|(?=\d)(?:[\d.]*[-:][\d.:-]*|(?=[\d.]*\.)[\d.]{8,}|\d{1,4}(?![\d.:-]))")
+
+
 def page_stamp(text: str | None) -> str:
     """What is left of a page's first 300 characters without what differs from page to page."""
-    s = re.sub(r"https?://\S+|www\.\S+", "", (text or "")[:300])
-    s = re.sub(r"[0-9A-Fa-f]{30,}", "", s)
-    s = re.sub(r"\d{2,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}:\d{2}(?::\d{2})?", "", s)
-    return re.sub(r"\d+$", "", re.sub(r"(?<!\d)\d{1,4}(?!\d)", "", re.sub(r"\s+", "", s)))
+    return re.sub(r"(?:\d*\.)+\Z", "", _PASSING.sub("", (text or "")[:300]))
 
 
 @F.pandas_udf(T.StringType())

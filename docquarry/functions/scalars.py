@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 # Extension families, display names, exclusion rules and error words.
 FAMILIES = {
-    "image": "png jpg jpeg tiff tif bmp gif webp",
+    "image": "png jpg jpeg gif bmp webp tiff tif",
     "pdf": "pdf",
-    "office": "doc docx xls xlsx ppt pptx odt ods odp rtf epub wps et dps",
-    "text": "txt md csv json xml html htm log yaml yml toml ini cfg conf py js ts rs go java c cpp h hpp sh bat sql css tsv rst tex eml",
-    "archive": "zip tar gz bz2 xz tgz 7z rar",
-    "audio": "mp3 wav m4a flac ogg aac",
+    "office": "doc docx xls xlsx ppt pptx odt ods odp rtf epub",
+    "text": "txt md csv json xml yaml yml toml ini cfg log py rs ts js html css sql sh bat ps1 env conf properties",
+    "archive": "zip tar tgz tbz2 txz gz bz2 xz",
+    "audio": "mp3 wav m4a aac flac ogg opus wma",
 }
-TYPE_NAMES = {"pdf": "PDF", "doc": "Word", "docx": "Word", "xls": "Excel", "xlsx": "Excel", "ppt": "PowerPoint", "pptx": "PowerPoint", "txt": "Text", "md": "Markdown", "csv": "CSV", "html": "HTML", "json": "JSON", "xml": "XML"}
-EXCLUDED_NAMES = (".git", "node_modules", "Thumbs.db", ".DS_Store", "desktop.ini")
-EXCLUDED_FIRST = (".", "~", "$", "#")
-EXCLUDED_SUFFIXES = (".tmp", ".swp", ".bak", ".part", ".crdownload", ".lock")
+TYPE_NAMES = {
+    "pdf": "PDF", "doc": "Word", "docx": "Word", "xls": "Excel", "xlsx": "Excel", "ppt": "PowerPoint", "pptx": "PowerPoint", "txt": "Text", "md": "Markdown",
+    "rtf": "RTF", "odt": "OpenDocument Text", "ods": "OpenDocument Spreadsheet", "odp": "OpenDocument Presentation",
+}
+KINDS = {
+    "Plain text": "txt md csv json xml yaml yml toml ini cfg log",
+    "Code": "py rs ts js html css sql sh bat ps1 env conf properties",
+    "PDF": "pdf", "Word": "docx doc", "Excel": "xlsx xls", "PowerPoint": "pptx ppt", "Image": "png jpg jpeg gif bmp webp tiff tif",
+}
+EXCLUDED_NAMES = (".DS_Store", "Thumbs.db", ".git", ".svn", "__pycache__")
+EXCLUDED_FIRST = ("#", "$", ".", "~")
+EXCLUDED_SUFFIXES = (".tmp", ".temp", ".bak", ".swp", ".swo", "~")
 ERROR_CLASSES = (
-    ("access_denied", ("permission denied", "access is denied", "access denied")),
-    ("ocr_failed", ("ocr", "tesseract", "no text layer")),
-    ("timeout", ("timeout", "timed out")),
-    ("corrupted_or_protected", ("encrypted", "password", "corrupt", "unexpected end")),
-    ("parse_error", ("parse", "invalid", "malformed")),
+    ("access_denied", ("Permission denied", "Access denied")),
+    ("ocr_failed", ("OCR", "tesseract")),
+    ("timeout", ("timeout",)),
+    ("corrupted_or_protected", ("损坏", "加密", "无法读取", "encrypted", "corrupted", "password")),
+    ("parse_error", ("parse", "invalid", "failed to")),
 )
+SETTING_KEYS = ("ocr_engine", "ocr_lang", "ocr_concurrent", "lo_batch_size", "max_results", "exclude_patterns", "scan_time", "auto_backup", "backup_interval", "auto_start")
 
 
 def _c(c: Column | str) -> Column:
@@ -58,13 +67,22 @@ def classify_ext(ext: Column | str) -> Column:
     return F.when(e.isNull(), "unknown").otherwise(out)
 
 
+def kind_name(ext: Column | str) -> Column:
+    """Plain text, Code, PDF, Word, Excel, PowerPoint or Image; empty for any other extension."""
+    e = F.lower(_c(ext))
+    out = F.lit("")
+    for kind, names in KINDS.items():
+        out = F.when(e.isin(names.split()), kind).otherwise(out)
+    return out
+
+
 def is_supported(ext: Column | str) -> Column:
     return classify_ext(ext) != "unknown"
 
 
 def classify_error(message: Column | str) -> Column:
     """The class of an error message: the first class one of whose words it has."""
-    m = F.lower(F.coalesce(_c(message), F.lit("")))
+    m = F.coalesce(_c(message), F.lit(""))
     out = None
     for name, words in ERROR_CLASSES:
         test = F.contains(m, F.lit(words[0]))
@@ -79,7 +97,7 @@ def is_excluded(path: Column | str, globs: list[str] = ()) -> Column:
     name = file_name(path)
     test = name.isin(*EXCLUDED_NAMES) | name.substr(1, 1).isin(*EXCLUDED_FIRST)
     for s in EXCLUDED_SUFFIXES:
-        test = test | F.endswith(F.lower(name), F.lit(s))
+        test = test | F.endswith(name, F.lit(s))
     for g in globs:
         test = test | name.rlike(glob_regex(g))
     return test

@@ -110,6 +110,13 @@ def type_name(s, d):
     return _files(s, d).select(S.file_type_name("file_ext").alias("type"), S.classify_ext("file_ext").alias("family")).groupBy("type", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
+def type_support(s, d):
+    """Every supported extension with the number of active files that have it, zeros included."""
+    exts = s.createDataFrame([(e,) for names in S.FAMILIES.values() for e in names.split()], "ext string")
+    have = C.active(_files(s, d)).groupBy(F.lower("file_ext").alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return exts.join(have, "ext", "left").select("ext", S.kind_name("ext").alias("kind"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def error_class(s, d):
     rows = table(s, d, "index_errors").distinct()
     return rows.groupBy(S.classify_error("error_msg").alias("error_class"), "error_type").agg(F.count(F.lit(1)).alias("n"))
@@ -238,9 +245,9 @@ _OLD = "o as (select * from (select *, row_number() over (partition by id order
 _DIFF = f"""with {_OLD}, {_A}, x as (select coalesce(o.id, a.id) id, case when o.id is null then 'created' when a.id is null then case when o.status <> 'deleted' then 'deleted' end
  when o.status = 'deleted' then 'restored' when a.mtime is distinct from o.mtime or a.size is distinct from o.size then 'modified' when o."indexed" = 0 then 'pending' else 'unchanged' end change from o full join a on o.id = a.id)
 select change, count(*) n from x where change is not null group by 1"""
-_ERR = "case " + " ".join(f"when {' or '.join(f'contains(lower(error_msg), {w!r})' for w in words)} then '{k}'" for k, words in S.ERROR_CLASSES) + " else 'unknown' end"
+_ERR = "case " + " ".join(f"when {' or '.join(f'contains(error_msg, {w!r})' for w in words)} then '{k}'" for k, words in S.ERROR_CLASSES) + " else 'unknown' end"
 _NAMES = "case " + " ".join(f"when lower(file_ext) = '{k}' then '{v}'" for k, v in S.TYPE_NAMES.items()) + " else upper(file_ext) end"
-_EXCL = f"({_NAME} in ({', '.join(repr(x) for x in S.EXCLUDED_NAMES)}) or substr({_NAME}, 1, 1) in ({', '.join(repr(x) for x in S.EXCLUDED_FIRST)}) or {' or '.join(f'ends_with(lower({_NAME}), {x!r})' for x in S.EXCLUDED_SUFFIXES)} or {_NAME} glob 'IMG_*' or {_NAME} glob '*_0000000[1-5]*' or {_NAME} glob 'plan?*.md')"
+_EXCL = f"({_NAME} in ({', '.join(repr(x) for x in S.EXCLUDED_NAMES)}) or substr({_NAME}, 1, 1) in ({', '.join(repr(x) for x in S.EXCLUDED_FIRST)}) or {' or '.join(f'ends_with({_NAME}, {x!r})' for x in S.EXCLUDED_SUFFIXES)} or {_NAME} glob 'IMG_*' or {_NAME} glob '*_0000000[1-5]*' or {_NAME} glob 'plan?*.md')"
 _C = "c as (select distinct on (md5) md5, text_content, ocr_used from content_index)"
 _LINES = "list_filter(list_transform(string_split(text_content, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
 
@@ -265,6 +272,7 @@ PAIRS = {
     "exclude_predicate": (exclude_predicate, f"with {_F} select id, path from f where {_EXCL}"),
     "ext_of": (ext_of, f"with {_F} select id, {_NAME} \"name\", {_EXT} ext from f"),
     "type_name": (type_name, f"with {_F} select {_NAMES} \"type\", {_FAMILY.format('lower(file_ext)')} family, count(*) n from f group by 1, 2"),
+    "type_support": (type_support, f"with {_A}, e as (select unnest([{', '.join(repr(x) for names in S.FAMILIES.values() for x in names.split())}]) ext) select e.ext, case {' '.join(f'when e.ext in ({chr(44).join(repr(x) for x in v.split())}) then {k!r}' for k, v in S.KINDS.items())} else '' end kind, count(a.id) n from e left join a on lower(a.file_ext) = e.ext group by 1, 2"),
     "error_class": (error_class, f"with e as (select distinct * from index_errors) select {_ERR} error_class, error_type, count(*) n from e group by 1, 2"),
     "human_sizes": (sizes, None),
     "relative_paths": (relative_paths, "with d as (select distinct id, path from dir_config) select id, case when starts_with(path, '/srv/') then substr(path, 6) end relative, case when starts_with(path, '/srv/') then '/data/' || substr(path, 6) end moved from d"),
