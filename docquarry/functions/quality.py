@@ -18,13 +18,13 @@ def odd_ratio(text: Column | str) -> Column:
     """The part of replacement and control characters (tab and line breaks aside) in a text; null if it is empty."""
     t = _c(text)
     odd = F.char_length(t) - F.char_length(F.regexp_replace(t, r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
-    return F.when(F.char_length(t) > 0, odd / F.char_length(t))
+    return F.try_divide(odd, F.char_length(t))
 
 
 def is_garbled(text: Column | str) -> Column:
     """Over 30 % odd characters, or under 5 % that aren't blank; an empty or null text is not garbled."""
     t = _c(text)
-    filled = F.char_length(F.regexp_replace(t, r"\s", "")) / F.char_length(t)
+    filled = F.try_divide(F.char_length(F.regexp_replace(t, r"\s", "")), F.char_length(t))
     return F.coalesce((odd_ratio(t) > 0.3) | (filled < 0.05), F.lit(False))
 
 

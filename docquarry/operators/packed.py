@@ -111,9 +111,11 @@ def tokens(c: Column | str, brackets: bool = False, nested: bool = False) -> Col
 def unpack(df: DataFrame, field: str, brackets: bool = False, nested: bool = False, pos: str = "pos", val: str = "val") -> DataFrame:
     """One row per value of `field`, with its place from 1 on in `pos` and itself in `val`.
 
-    All other columns stay.  Rows without a value give none; repeated rows and values
+    All other columns stay (ones named like `pos` or `val` give way).  Rows without a value give none; repeated rows and values
     stay repeated; an empty table gives none; works within each row, without a shuffle.
     """
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in (field, pos, val)]
-    split = df.select(*rest, tokens(F.col(f"`{field}`"), brackets, nested).alias("__values"))
-    return split.select(*rest, F.posexplode("__values").alias("__pos", "__val")).select(*rest, (F.col("__pos") + 1).alias(pos), F.col("__val").alias(val))
+    rest = [c for c in df.columns if c not in (field, pos, val)]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None)
+    split = df.select(row.alias("row"), tokens(F.col(f"`{field}`"), brackets, nested).alias("values"))
+    each = split.select("row", F.posexplode("values").alias("pos", "val"))
+    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], (F.col("pos") + 1).alias(pos), F.col("val").alias(val))

@@ -62,16 +62,16 @@ def broken_references(refs: DataFrame, keys: tuple[str, ...], target: Target, ma
     `reason` is `missing` (no such row), `deleted` (all such rows are), or `late`
     (the oldest such row is younger than `refs.made`).  Null times are never late.
     Repeated references stay repeated.  Any other columns pass through, whatever
-    their names.  Empty `refs` give no rows; an empty target makes all `missing`.
+    their names; only one named `reason` gives way.  Empty `refs` give no rows; an empty target makes all `missing`.
     """
     if match not in ("simple", "full", "partial"):
         raise ValueError(match)
     n = len(keys)
     cols = [f"__k{i}" for i in range(n)]
-    out = refs.columns
-    tagged = refs
-    for c, k in zip(cols, keys):
-        tagged = tagged.withColumn(c, norm_key(F.col(f"`{k}`")))
+    out = [c for c in refs.columns if c != "reason"]
+    row = F.struct(*[F.col(f"`{c}`") for c in out]) if out else F.lit(None)
+    asked = [norm_key(F.col(f"`{k}`")).alias(c) for c, k in zip(cols, keys)]
+    tagged = refs.select(row.alias("__row"), *asked, *([F.col(f"`{made}`").alias("__made")] if made else []))
     mask = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
     tagged = tagged.withColumn("__mask", mask)
     known = target.df.select(
@@ -81,14 +81,14 @@ def broken_references(refs: DataFrame, keys: tuple[str, ...], target: Target, ma
     )
     reason = F.when(F.col("__found").isNull(), "missing").when(F.col("__all_dead"), "deleted")
     if made:
-        reason = reason.when(F.col("__first") > F.col(f"`{made}`"), "late")
+        reason = reason.when(F.col("__first") > F.col("__made"), "late")
     parts = []
     for m in range((1 << n) - 1):
         if m and match == "simple":
             continue
         mine = tagged.where(F.col("__mask") == m)
         if m and match == "full":
-            parts.append(mine.select(*[F.col(f"`{c}`") for c in out], F.lit("partial_null").alias("reason")))
+            parts.append(mine.select("__row", F.lit("partial_null").alias("reason")))
             continue
         on = [c for i, c in enumerate(cols) if not m >> i & 1]
         there = known.dropna(subset=on).groupBy(*on).agg(F.lit(1).alias("__found"), F.min("__born").alias("__first"), F.bool_and("__dead").alias("__all_dead"))
@@ -97,8 +97,8 @@ def broken_references(refs: DataFrame, keys: tuple[str, ...], target: Target, ma
             joint = F.to_json(F.array(*on))
             mine, there, key = mine.withColumn("__joint", joint), there.withColumn("__joint", joint).drop(*on), "__joint"
         joined = salted_join(mine, there, key, "left", hot_rows=hot_rows)
-        parts.append(joined.withColumn("reason", reason).where("reason is not null").select(*[F.col(f"`{c}`") for c in out], "reason"))
+        parts.append(joined.withColumn("reason", reason).where("reason is not null").select("__row", "reason"))
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
-    return result
+    return result.select(*[F.col(f"__row.`{c}`").alias(c) for c in out], "reason")
