@@ -144,11 +144,13 @@ def undone(vocab: DataFrame, hypotheses: list[int]) -> DataFrame:
 
 
 def garbled_units(vocab: DataFrame, hypotheses: list[int]) -> DataFrame:
-    """`unit` and `fixed` (null where characters were lost) of the garbled words.
+    """`unit`, `fixed` (null where characters were lost), `h` and `strong` of the garbled words.
 
     A word is garbled if a learned transformation takes it back to a more frequent word
     of the corpus with at least two letters, or if its bytes make characters of a
-    multi-byte encoding that the corpus's words use.
+    multi-byte encoding that the corpus's words use.  A shorter word that goes back to a
+    more frequent one is not `strong`: it shows nothing by itself, but is restored in a
+    record that other words show to be damaged by the same transformation.
     """
     letters = vocab.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("c"), "df").where("c > '\x7f'")
     common = letters.groupBy("c").agg(F.sum("df").alias("n")).orderBy(F.desc("n"), "c").limit(1 << 16).where("n >= 5")
@@ -171,13 +173,15 @@ def garbled_units(vocab: DataFrame, hypotheses: list[int]) -> DataFrame:
     known = vocab.select(F.col("unit").alias("fixed"), F.col("df").alias("m"))
     joined = back.join(known, "fixed", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     wordy = F.length(F.regexp_replace("unit", r"[^A-Za-z]", "")) >= 2
-    kept = joined.where(((F.col("m") > F.col("df")) & (wordy | (F.length("unit") >= 4))) | sure("unit", "fixed", "h"))
-    best = kept.groupBy("unit").agg(F.max_by("fixed", F.struct(F.col("m"), -F.col("h"))).alias("fixed"))
-    return best.unionByName(vocab.where(F.col("unit").contains(LOST)).select("unit", F.lit(None).cast("string").alias("fixed")))
+    better = F.col("m") > F.col("df")
+    judged = joined.withColumn("strong", (better & (wordy | (F.length("unit") >= 4))) | sure("unit", "fixed", "h")).where(F.col("strong") | better)
+    best = judged.groupBy("unit").agg(F.max_by(F.struct("fixed", "h", "strong"), F.struct("strong", "m", -F.col("h"))).alias("b")).select("unit", "b.fixed", "b.h", "b.strong")
+    lost = vocab.where(F.col("unit").contains(LOST)).select("unit", F.lit(None).cast("string").alias("fixed"), F.lit(-1).alias("h"), F.lit(True).alias("strong"))
+    return best.unionByName(lost)
 
 
 def garbled(df: DataFrame, key: str, text: str, support: int = SUPPORT) -> DataFrame:
-    """`key`, `unit`, `fixed` of every garbled word of every record; once per record.
+    """`key`, `unit`, `fixed`, `h`, `strong` of every garbled word of every record; once per record.
 
     Null, empty and pure ASCII texts have none; repeated rows give repeated words; an
     empty table gives none.  The words of whole texts are looked at.
@@ -185,12 +189,15 @@ def garbled(df: DataFrame, key: str, text: str, support: int = SUPPORT) -> DataF
     found = units(df, key, text)
     vocab = checkpointed(found.groupBy("unit").agg(F.count(F.lit(1)).alias("df")))
     bad = garbled_units(vocab, learned(vocab, support))
-    return found.join(bad, "unit").select("key", "unit", "fixed").withColumnRenamed("key", key)
+    return found.join(bad, "unit").select("key", "unit", "fixed", "h", "strong").withColumnRenamed("key", key)
 
 
 def restored(df: DataFrame, key: str, text: str, support: int = SUPPORT) -> DataFrame:
     """`key`, `restored` (null where anything was lost) of each affected record, once."""
-    fixes = garbled(df, key, text, support).groupBy(key).agg(F.collect_set(F.struct("unit", "fixed")).alias("fixes"), F.bool_or(F.col("fixed").isNull()).alias("lost"))
+    words = garbled(df, key, text, support).groupBy(key)
+    every = words.agg(F.collect_set(F.struct("unit", "fixed", "h", "strong")).alias("all"), F.collect_set(F.when(F.col("strong"), F.col("h"))).alias("hs"), F.bool_or(F.col("fixed").isNull()).alias("lost"))
+    shown = every.where(F.size("hs") > 0)
+    fixes = shown.withColumn("fixes", F.filter("all", lambda x: x["strong"] | F.array_contains("hs", x["h"]))).drop("all", "hs")
 
     @F.pandas_udf("string")
     def apply(text_: pd.Series, fixes_: pd.Series) -> pd.Series:

@@ -74,7 +74,7 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The records with a garbled part."""
-    return encoding.garbled(contents(spark, d), "md5", "text_content").select("md5").distinct()
+    return encoding.garbled(contents(spark, d), "md5", "text_content").where("strong").select("md5").distinct()
 
 
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
