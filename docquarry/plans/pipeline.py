@@ -38,7 +38,7 @@ def scan(spark: SparkSession, roots: list[tuple[str, str]], state_root: str, ind
     read = S.read_texts(wanted)
     after = snapshot.upsert(before, fresh.drop("absolute"))
     gone = changes.where("change = 'deleted'").select("dir_id", "path", F.lit(True).alias("gone"))
-    after = after.join(gone, ["dir_id", "path"], "left").withColumn("status", F.when("gone", "deleted").otherwise(F.col("status"))).drop("gone")
+    after = after.join(gone, ["dir_id", "path"], "left").withColumn("status", F.when(F.col("gone"), "deleted").otherwise(F.col("status"))).drop("gone")
     summary = [(r["change"], r["n"]) for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()]
     version = store.publish(contents=contents.unionByName(read))
     known = store.read(version, "contents").select("md5", F.col("error").isNotNull().alias("failed"), F.lit(True).alias("read"))

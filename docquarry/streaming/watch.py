@@ -59,7 +59,7 @@ def applied(state: DataFrame, events: DataFrame) -> DataFrame:
     up = last.where("action = 'upsert'").select(*keys, F.md5(F.concat_ws("/", *keys)).alias("id"), "mtime", "size", "md5", F.unix_seconds("ts").alias("updated_at"))
     after = snapshot.upsert(state, up)
     gone = last.where("action = 'delete'").select(*keys, F.lit(True).alias("gone"))
-    return after.join(gone, keys, "left").withColumn("status", F.when("gone", "deleted").otherwise(F.col("status"))).drop("gone")
+    return after.join(gone, keys, "left").withColumn("status", F.when(F.col("gone"), "deleted").otherwise(F.col("status"))).drop("gone")
 
 
 def upkeep(events: DataFrame, roots: Callable[[], DataFrame], store: Store, checkpoint: str, table: str = "files", once: bool = True, every: str = "10 seconds") -> StreamingQuery:
