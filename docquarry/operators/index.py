@@ -18,8 +18,8 @@ from .search import bm25
 BUCKETS = 64
 
 
-def bucket(term) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(term, buckets: int = BUCKETS) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def postings(docs: DataFrame, text: str = "content", cjk: bool = False) -> DataFrame:
@@ -63,20 +63,20 @@ def term_stats(post: DataFrame) -> DataFrame:
 def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
     """One row: `n_docs`, `avg_dl`, `n_tokens`."""
     dl = docs.select(F.size(A.tokens(text)).alias("dl"))
-    return dl.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("dl"), 6).alias("avg_dl"), F.sum("dl").cast("bigint").alias("n_tokens"))
+    return dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"), F.sum("dl").cast("bigint").alias("n_tokens"))
 
 
 class Index:
     """A persisted index: every commit writes a new version and flips a pointer; readers keep theirs."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.store, self.buckets = spark, Store(spark, root), buckets
 
     def build(self, docs: DataFrame) -> int:
         """Write postings (by term bucket, sorted by term), terms, documents and corpus statistics; the new version."""
-        post = postings(docs).withColumn("bucket", bucket("term"))
+        post = postings(docs).withColumn("bucket", bucket("term", self.buckets))
         version = self.store.begin()
-        post.repartition(BUCKETS, "bucket").sortWithinPartitions("term", "file_id").write.partitionBy("bucket").parquet(self.store.path(version, "postings"))
+        post.repartition(self.buckets, "bucket").sortWithinPartitions("term", "file_id").write.partitionBy("bucket").parquet(self.store.path(version, "postings"))
         term_stats(self.store.read(version, "postings")).write.parquet(self.store.path(version, "terms"))
         corpus_stats(docs).write.parquet(self.store.path(version, "corpus"))
         docs.write.parquet(self.store.path(version, "docs"))
@@ -120,7 +120,7 @@ class Index:
         starts = sorted({x.words[0] for x in leaves if x.kind == "prefix"})
         where = F.col("term").isin(words)
         if words and not starts:
-            known = self.spark.range(1).select(F.array(*[bucket(F.lit(w)) for w in words])).first()[0]
+            known = self.spark.range(1).select(F.array(*[bucket(F.lit(w), self.buckets) for w in words])).first()[0]
             where = where & F.col("bucket").isin(sorted(set(known)))
         for s in starts:
             where = where | F.startswith(F.col("term"), F.lit(s))

@@ -88,7 +88,7 @@ def snippets(spark, d):
 
 
 def corpus_stats(spark, d):
-    return index.corpus_stats(corpus(spark, d).docs)
+    return index.corpus_stats(corpus(spark, d).docs).withColumn("avg_dl", F.round("avg_dl", 6))
 
 
 def term_df(spark, d):
