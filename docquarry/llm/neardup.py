@@ -129,30 +129,64 @@ def bucketed(df: DataFrame, text: str, n: int, min_words: int, banding: Banding)
     return df.select(text).mapInArrow(run, "bucket bigint, same bigint")
 
 
+#: A bucket with more classes than this is split into blocks that are paired in tasks of their own.
+BLOCK = 1000
+
+
 def _meet(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes within each bucket of rows sorted by bucket and class."""
-    rest_k, rest_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Pairs (`a`, `b`) of classes within each bucket of rows sorted by bucket and class.
+
+    A bucket of more than BLOCK classes is passed on instead: its classes in `a`, its
+    number in `bucket` and its size in `size`, with no `b`.
+    """
+
+    def out(a: np.ndarray, b: np.ndarray | None, bucket: int = 0, size: int = 0) -> pa.RecordBatch:
+        n = len(a)
+        rest = [pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())] if b is not None else [pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket)), pa.array(np.full(n, size))]
+        return pa.RecordBatch.from_arrays([pa.array(a), *rest], names=["a", "b", "bucket", "size"])
 
     def pairs(k: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(k) > 1:
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-            k, s = k[new], s[new]
+        if len(k) < 2:
+            return
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
+        k, s = k[new], s[new]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        sizes = np.diff(np.append(starts, len(k)))
+        for at, n in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK]):
+            yield out(s[at : at + n], None, int(k[at]), int(n))
+        small = np.repeat(sizes <= BLOCK, sizes)
+        k, s = k[small], s[small]
         d = 1
         while d < len(k):
-            at = np.flatnonzero(k[d:] == k[:-d])
-            if not len(at):
+            same = np.flatnonzero(k[d:] == k[:-d])
+            if not len(same):
                 break
-            yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(s[at + d])], names=["a", "b"])
+            yield out(s[same], s[same + d])
             d += 1
 
+    rest_k, rest_s = [], []
     for b in batches_:
-        k, s = np.concatenate([rest_k, np.asarray(b.column(0))]), np.concatenate([rest_s, np.asarray(b.column(1))])
+        k, s = np.asarray(b.column(0)), np.asarray(b.column(1))
         if not len(k):
             continue
         cut = int(np.searchsorted(k, k[-1]))
-        yield from pairs(k[:cut], s[:cut])
-        rest_k, rest_s = k[cut:], s[cut:]
-    yield from pairs(rest_k, rest_s)
+        if cut or (rest_k and rest_k[-1][-1] != k[0]):
+            yield from pairs(np.concatenate([*rest_k, k[:cut]]), np.concatenate([*rest_s, s[:cut]]))
+            rest_k, rest_s = [], []
+        rest_k.append(k[cut:])
+        rest_s.append(s[cut:])
+    if rest_k:
+        yield from pairs(np.concatenate(rest_k), np.concatenate(rest_s))
+
+
+def block_pairs(large: DataFrame) -> DataFrame:
+    """All pairs (`a` < `b`) within each `bucket` of `size` classes `a`, in blocks of about BLOCK by BLOCK."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = large.select("bucket", "a", n.alias("n")).withColumn("g", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
+    left = placed.select("bucket", F.col("g").alias("i"), F.explode(F.sequence(F.col("g"), F.col("n") - 1)).alias("j"), F.col("a").alias("x"))
+    right = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i"), F.col("g").alias("j"), F.col("a").alias("y"))
+    met = left.join(right, ["bucket", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, min_words: int = 0, banding: Banding = Banding()) -> tuple[DataFrame, DataFrame]:
@@ -163,12 +197,16 @@ def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     verified on the whole sets.  A text counts if it has `min_words` words and a shingle;
     null, empty and shorter texts are in neither result, an empty table gives none.
     Repeated rows and copies are one class and never multiply pairs.  Candidates come from
-    all tensored tables without a cap.  Shingle sets are built anew where they are needed
+    all tensored tables without a cap; the pairs of a large bucket are made in blocks by many
+    tasks.  Shingle sets are built anew where they are needed
     (a few CPU seconds) instead of being stored (more disk than the texts themselves).
     """
     members = checkpointed(class_of(df, key, text, n, min_words).distinct())
     keyed = bucketed(df, text, n, min_words, banding).repartition("bucket").sortWithinPartitions("bucket", "same")
-    pairs = checkpointed(keyed.mapInArrow(_meet, "a bigint, b bigint").distinct())
+    met = checkpointed(keyed.mapInArrow(_meet, "a bigint, b bigint, bucket bigint, size bigint").distinct())
+    pairs, large = met.where("b is not null").select("a", "b"), met.where("b is null")
+    if not large.isEmpty():
+        pairs = checkpointed(pairs.unionByName(block_pairs(large)).distinct())
     need = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
     sets = set_of(df, text, n, min_words).join(need, "same", "left_semi").groupBy("same").agg(F.first("grams").alias("grams"))
     verified = (

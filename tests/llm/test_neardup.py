@@ -94,3 +94,22 @@ def test_words_are_letters_and_digits():
     flat, offs = words(pa.array(["Éa_b-2c\nÄ’x", None, "", "中文，字"]))
     assert flat.to_pylist() == ["éa", "b", "2c", "ä", "x", "中文", "字"] and offs.tolist() == [0, 5, 5, 5, 7]
     assert words(pa.array(["éa­b"]), fold=True)[0].to_pylist()[0].startswith("ea")
+
+
+def test_large_buckets_are_paired_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(7, i, 50) for i in range(50)] + [(8, i, 20) for i in range(20)], "bucket long, a long, size long")
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    got = sorted(map(tuple, neardup.block_pairs(rows.where("bucket = 7")).collect()))
+    assert got == [(i, j) for i in range(50) for j in range(i + 1, 50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], names=["bucket", "same"]) for k, s in (([1, 1, 2], [5, 9, 1]), ([2, 2, 2, 2], [1, 2, 3, 4]), ([2] * 6, [5, 6, 7, 8, 9, 9]), ([3, 4, 4], [1, 2, 3]))]
+    out = pa.Table.from_batches(neardup._meet(iter(batches))).to_pylist()
+    assert sorted((r["a"], r["b"]) for r in out if r["b"] is not None) == [(2, 3), (5, 9)]
+    assert sorted(r["a"] for r in out if r["b"] is None) == list(range(1, 10)) and {r["size"] for r in out if r["b"] is None} == {9}
+
+
+def test_same_links_with_small_blocks(spark):
+    base = [RNG.choice(VOCAB) for _ in range(40)]
+    rows = [(str(i), " ".join(base[:30] + [f"x{i}"] + base[30:])) for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    links, _ = neardup.similar_pairs(df, "id", "t", n=3, threshold=0.6, min_words=20)
+    assert links.count() == 30 * 29 // 2
