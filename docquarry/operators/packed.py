@@ -35,7 +35,7 @@ def _quoted_end(text: str, start: int, stop: frozenset) -> tuple[int, str] | Non
 
 
 def _scan(text: str, stop: frozenset, nested: bool) -> tuple[list[str], bool]:
-    """The values between the characters of `stop`, and whether any of those stood outside quotes."""
+    """The values between the characters of `stop`, and whether any of SEPARATORS stood outside quotes."""
     values, piece, met, depth, fresh, i = [], [], False, 0, True, 0
     while i < len(text):
         ch = text[i]
@@ -44,7 +44,7 @@ def _scan(text: str, stop: frozenset, nested: bool) -> tuple[list[str], bool]:
             values.append(content.strip())
             piece, fresh = [], True
             if i < len(text):
-                met, i = True, i + 1
+                met, i = met or text[i] in SEPARATORS, i + 1
             continue
         if ch == "\\" and i + 1 < len(text) and (text[i + 1] in SEPARATORS):
             met = True
@@ -56,7 +56,7 @@ def _scan(text: str, stop: frozenset, nested: bool) -> tuple[list[str], bool]:
         elif nested and ch in _CLOSING:
             depth = max(0, depth - 1)
         if ch in stop and not depth:
-            met = True
+            met = met or ch in SEPARATORS
             values.append("".join(piece).strip())
             piece, fresh = [], True
         else:
@@ -93,8 +93,9 @@ def tokenize(text: str | None, brackets: bool = False, nested: bool = False) ->
         values = text.split() if len(values) == 1 else [v.strip() for v in values]
     else:
         values, met = _scan(text, _STOP, nested)
-        if not met:
-            values, _ = _scan(text, _STOP_SPACE, nested)
+        by_space, beside = _scan(text, _STOP_SPACE, nested)
+        if not met or not beside:
+            values = by_space
     return [v for v in values if v]
 
 

@@ -6,10 +6,10 @@ from docquarry.operators.packed import SEPARATORS, tokenize, unpack
 
 CASES = [
     (None, []), ("", []), (" ,; ", []), ("a", ["a"]), ("a,b;c、d|e｜f，g；h\ti\nj\r\nk", list("abcdefghijk")),
-    ("a b  c", ["a", "b", "c"]), ("a b, c d", ["a b", "c d"]), ('"a, b"; c', ["a, b", "c"]), ("'x;y' 'z'", ["'x", "y' 'z'"]),
+    ("a b  c", ["a", "b", "c"]), ("a b, c d", ["a b", "c d"]), ('"a, b"; c', ["a, b", "c"]), ("'x;y' 'z'", ["x;y", "z"]),
     ('"size 6"" prints",*.tmp', ['size 6" prints', "*.tmp"]), ("Lena's box*,x", ["Lena's box*", "x"]), ('"team\'s, old",.git', ["team's, old", ".git"]),
     ("red\\; blue*", ["red; blue*"]), ("a\\,b,c", ["a,b", "c"]), ('"open, b', ['"open', "b"]), ('"a"b,c', ['"a"b', "c"]), ('  "red; blue*" ', ["red; blue*"]),
-    ("[Bb]in", ["[Bb]in"]), ("a\\b", ["a\\b"]), ('"x" "y"', ["x", "y"]), ("''", []), ('""""', ['"']),
+    ("[Bb]in", ["[Bb]in"]), ("a\\b", ["a\\b"]), ('"x" "y"', ["x", "y"]), ("''", []), ('"a, b" c', ["a, b", "c"]), ('"a, b" c, d', ['"a', 'b" c', "d"]), ('""""', ['"']),
 ]
 
 
