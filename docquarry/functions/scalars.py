@@ -164,3 +164,26 @@ def next_state(event: Column | str, state: Column | str, changed: Column) -> Col
     """The index state after an event: 0 pending, 1 indexed, 2 failed, 3 extracted."""
     e = _c(event)
     return F.when((e == "upsert") & changed, 0).when(e == "extracted", 3).when(e == "indexed", 1).when(e == "failed", 2).otherwise(_c(state)).cast("int")
+
+
+# Recognition engines by setting.
+ENGINES = ("paddle", "apple", "windows", "tesseract", "none")
+
+
+def engine(value: Column | str) -> Column:
+    """The recognition engine of a setting; the embedded one for unknown values."""
+    v = F.lower(F.btrim(_c(value)))
+    return F.when(v.isin(*ENGINES), v).otherwise(ENGINES[0])
+
+
+def extract_error(message: Column | str) -> Column:
+    """encrypted, damaged or failed: why an entry of an archive gave no text."""
+    m = F.coalesce(_c(message), F.lit(""))
+    return F.when(m.rlike("加密|[Ee]ncrypted"), "encrypted").when(m.rlike("无法读取|损坏|corrupted"), "damaged").otherwise("failed")
+
+
+def first_good(*candidates: Column, least_bytes: int = 100) -> Column:
+    """The first candidate text that is long enough, not garbled and not repetitive; null if none is."""
+    from .quality import is_garbled, is_repetitive
+
+    return F.coalesce(*[F.when((F.octet_length(c) >= least_bytes) & ~is_garbled(c) & ~is_repetitive(c), c) for c in candidates])

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
 from ..functions.quality import decode_bytes
 from ..functions.scalars import EXCLUDED_FIRST, EXCLUDED_NAMES, EXCLUDED_SUFFIXES, FAMILIES
 
@@ -227,7 +228,8 @@ def archive_entries(raw: bytes, name: str, backends: dict[str, Backend] | None =
 def extract(raw: bytes, name: str, lang: str = "eng", backends: dict[str, Backend] | None = None, archives: bool = True) -> str:
     """The text of a file by its extension.
 
-    PDF, image and audio need a backend; without one they give ''.  An unknown extension
+    Images and audio need a backend; without one they give ''.  A PDF gives its text layer;
+    a backend for it comes first, and one for scanned pages can be tried where that is ''.  An unknown extension
     is read as text and is an error if that gives none.
     """
     ext = extension(name)
@@ -235,7 +237,9 @@ def extract(raw: bytes, name: str, lang: str = "eng", backends: dict[str, Backen
     for key in (ext, family):
         if backends and key in backends:
             return backends[key](raw, lang)
-    if family in ("pdf", "image", "audio"):
+    if family == "pdf":
+        return pdf.text(raw)
+    if family in ("image", "audio"):
         return ""
     if ext == "rtf":
         return rtf_text(raw)

@@ -31,7 +31,8 @@ def test_readers():
     assert S.extract(XLSX, "a.xlsx") == "Cell A1\t7"
     assert S.extract(PPTX, "a.pptx") == "Slide 1\n\nSlide 2\n\nSlide 10"
     assert S.extract(b"hello world", "readme.me") == "hello world"
-    assert S.extract(b"x", "a.pdf") == "" and S.extract(b"x", "a.png", backends={"image": lambda raw, lang: f"seen {lang}"}) == "seen eng"
+    assert S.extract(b"x", "a.pdf") == ""
+    assert S.extract(b"x", "a.png", backends={"image": lambda raw, lang: f"seen {lang}"}) == "seen eng"
     assert S.extract(rb"{\rtf1 Hello\par \'e9t\'e9}", "a.rtf") == "Hello\nété"
     assert S.html_text("<p>a<script>no</script></p><p>b &amp; c</p>") == "a\nb & c"
     for raw, name in ((b"\x00\x01", "x.bin"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "a.docx"), (b"x", "a.doc"), (b"no zip", "a.docx")):
@@ -153,3 +154,27 @@ def test_sinks(spark, tmp_path):
     sinks.append(h, str(tmp_path / "log"))
     sinks.append(h, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def make_pdf(texts, packed=True):
+    import zlib
+
+    kids = " ".join(f"{3 + 2 * i} 0 R" for i in range(len(texts)))
+    out = [b"%PDF-1.4", b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", f"2 0 obj <</Type /Pages /Kids [{kids}]>> endobj".encode()]
+    for i, t in enumerate(texts):
+        body = b"BT /F1 12 Tf 72 700 Td " + b" T* ".join(b"(" + x.encode("cp1252").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj" for x in t.split("\n")) + b" ET"
+        data = zlib.compress(body) if packed else body
+        out += [f"{3 + 2 * i} 0 obj <</Type /Page /Contents {4 + 2 * i} 0 R>> endobj".encode(), f"{4 + 2 * i} 0 obj <</Length {len(data)}{' /Filter /FlateDecode' if packed else ''}>>".encode() + b"\nstream\n" + data + b"\nendstream endobj"]
+    return b"\n".join(out)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf(packed):
+    from docquarry.sources import pdf
+
+    assert S.extract(make_pdf(["Hello (PDF) café\nsecond line", "page two"], packed), "a.pdf") == "Hello (PDF) café\nsecond line\n\npage two"
+    stamp = [f"Licensed to Jane Doe of Example Street only 2024-01-0{i} Page {i}" for i in range(1, 6)]
+    assert pdf.pages(make_pdf(stamp))[0].startswith("Licensed") and pdf.text(make_pdf(stamp)) == ""
+    assert pdf.pages(b"[(a) -300 (b) 20 (c)] TJ") == [] and pdf._shown(b"[(a) -300 (b) 20 (c)] TJ") == "a bc"
+    with pytest.raises(ValueError):
+        pdf.text(b"trailer <</Encrypt 5 0 R>>")
