@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .text import shingle_codes, word_codes, words
 
@@ -56,10 +57,10 @@ def _blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator
         rows.append((r[0], r[1]))
         size += len(r[1])
         if size >= block_chars:
-            yield pd.DataFrame(rows, columns=["key", "text"])
+            yield pd.DataFrame(rows, columns=["key", "text"], dtype=object)
             rows, size = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=["key", "text"])
+        yield pd.DataFrame(rows, columns=["key", "text"], dtype=object)
 
 
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = 12, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -76,6 +77,8 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"key {kind}, item {item_kind}, n_tiles int, longest int, covered double"
 
+    item_type = to_arrow_type(items.schema[item_key].dataType)
+
     def one_block(block: pd.DataFrame) -> DataFrame:
         block = block.drop_duplicates(ignore_index=True)
         flat, offs = words(pa.array(block["text"], pa.large_string()), fold=True)
@@ -112,7 +115,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                             rows.append((int(doc), names[item], len(found), max(t[2] for t in found), total / len(own)))
                 if rows:
                     at, item, n, longest, covered = zip(*rows)
-                    out = [b.column(0).take(pa.array(at)), pa.array(item), pa.array(n, pa.int32()), pa.array(longest, pa.int32()), pa.array(covered, pa.float64())]
+                    out = [b.column(0).take(pa.array(at)), pa.array(item, item_type), pa.array(n, pa.int32()), pa.array(longest, pa.int32()), pa.array(covered, pa.float64())]
                     yield pa.RecordBatch.from_arrays(out, names=["key", "item", "n_tiles", "longest", "covered"])
 
         return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ def brute(docs, items, n):
 
 
 def test_against_brute_force(spark):
-    items = [(i, " ".join(RNG.choice(WORDS) for _ in range(RNG.randint(8, 40)))) for i in range(30)] + [(98, None), (99, "too short")]
+    items = [(i, " ".join(RNG.choice(WORDS) for _ in range(RNG.randint(8, 40)))) for i in range(30)] + [(98, None), (99, "too short"), (None, " ".join(WORDS[:15]))]
     docs = [(100, None), (101, "")]
     for i in range(60):
         t = [RNG.choice(WORDS) for _ in range(RNG.randint(5, 60))]
@@ -34,6 +34,7 @@ def test_against_brute_force(spark):
             a = RNG.randrange(max(1, len(w) - 9))
             t[3:3] = [x.upper() + RNG.choice(["", ",", " -", "\n"]) for x in w[a : a + RNG.randint(9, 16)]]
         docs.append((i, " ".join(t)))
+    docs.append((None, " ".join(WORDS[:20])))
     d, e = spark.createDataFrame(docs, "doc long, t string"), spark.createDataFrame(items, "item long, x string")
     for block in (100, 10**6):
         got = {(r["doc"], r["item"]) for r in leaks(d, "doc", "t", e, "item", "x", 12, block_chars=block).collect()}
