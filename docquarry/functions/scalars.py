@@ -167,12 +167,12 @@ def next_state(event: Column | str, state: Column | str, changed: Column) -> Col
 
 
 # Recognition engines by setting.
-ENGINES = ("paddle", "apple", "windows", "tesseract", "none")
+ENGINES = ("PaddleOCR", "AppleVision", "WindowsOcr", "Tesseract", "None")
 
 
 def engine(value: Column | str) -> Column:
     """The recognition engine of a setting; the embedded one for unknown values."""
-    v = F.lower(F.btrim(_c(value)))
+    v = _c(value)
     return F.when(v.isin(*ENGINES), v).otherwise(ENGINES[0])
 
 

@@ -77,12 +77,18 @@ class Index:
         post = postings(docs).withColumn("bucket", bucket("term", self.buckets))
         version = self.store.begin()
         post.repartition(self.buckets, "bucket").sortWithinPartitions("term", "file_id").write.partitionBy("bucket").parquet(self.store.path(version, "postings"))
-        term_stats(self.store.read(version, "postings")).write.parquet(self.store.path(version, "terms"))
+        term_stats(self._postings(version, docs)).write.parquet(self.store.path(version, "terms"))
         corpus_stats(docs).write.parquet(self.store.path(version, "corpus"))
         docs.write.parquet(self.store.path(version, "docs"))
         self.store.commit(version)
         return version
 
+    def _postings(self, version: int, docs: DataFrame) -> DataFrame:
+        """Postings by their known schema, as an index without words has no file to tell it."""
+        kind = docs.schema["file_id"].dataType.simpleString()
+        schema = f"term string, file_id {kind}, positions array<int>, dl int, tf int, bucket int"
+        return self.spark.read.schema(schema).parquet(self.store.path(version, "postings"))
+
     def apply(self, changed: DataFrame, deleted: DataFrame | None = None) -> int:
         """A new version with documents added, replaced by `file_id`, or deleted."""
         docs = self.store.current("docs")
@@ -91,7 +97,8 @@ class Index:
 
     def health(self) -> DataFrame:
         """One row: version, files, documents, terms, and whether the tables fit together."""
-        post, docs, terms = (self.store.current(t) for t in ("postings", "docs", "terms"))
+        docs, terms = self.store.current("docs"), self.store.current("terms")
+        post = self._postings(self.store.version(), docs)
         n_docs = docs.count()
         listed = self.store.current("corpus").first()["n_docs"]
         orphans = post.join(docs.select("file_id"), "file_id", "left_anti").limit(1).count()
@@ -104,7 +111,7 @@ class Index:
         aggregation over those postings.
         """
         root = parse(query).root
-        post = self.store.current("postings")
+        post = self._postings(self.store.version(), self.store.current("docs"))
         stats = self.store.current("corpus").first()
         leaves: list[Node] = []
 
@@ -152,7 +159,7 @@ class Index:
 
         df = {r["term"]: r["df"] for r in self.store.current("terms").where(F.col("term").isin(words)).collect()}
         scoring = sorted({w for x in root.leaves() if x.kind != "prefix" for w in x.words})
-        parts = [F.coalesce(bm25(F.col(f"tf{at[w]}").cast("double"), df.get(w, 0), stats["n_docs"], F.col("dl").cast("double"), stats["avg_dl"]), F.lit(0.0)) for w in scoring]
+        parts = [F.coalesce(bm25(F.col(f"tf{at[w]}").cast("double"), df.get(w, 0), stats["n_docs"], F.col("dl").cast("double"), stats["avg_dl"] or 1.0), F.lit(0.0)) for w in scoring]
         flat = float(sum(x.kind == "prefix" for x in root.leaves()))
         score = reduce(lambda a, b: a + b, parts, F.lit(flat))
         return by_doc.where(has(root)).select("file_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "file_id").limit(k)

@@ -121,3 +121,9 @@ def test_fusion(spark):
 def test_ask_context(spark, corpus):
     text = fusion.context(corpus.docs, ["uuid-2", "uuid-1"], per_doc=10).first()["context"]
     assert text == "【/home/user/report.pdf】\nannual fin\n\n---\n\n【/home/user/notes.txt】\nmeeting no"
+
+
+def test_index_of_nothing(spark, corpus, tmp_path):
+    index = Index(spark, str(tmp_path))
+    index.build(corpus.docs.limit(0))
+    assert index.search("rust").count() == 0 and index.search("").count() == 0 and index.health().first()["healthy"]
