@@ -48,8 +48,25 @@ class Corpus:
         return A.tokens_cjk(name) if self.cjk else A.tokens(name)
 
 
+_BEFORE, _AFTER, _BETWEEN = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]+"
+
+
+def _pattern(words: tuple[str, ...], prefix: bool = False) -> str:
+    """A regular expression for words in a row in lower-case text; a word is a maximal run of letters and digits."""
+    return _BEFORE + _BETWEEN.join(words) + ("" if prefix else _AFTER)
+
+
+def _found(low: Column, words: tuple[str, ...], prefix: bool = False) -> Column:
+    first = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+    return first & low.rlike(_pattern(words, prefix))
+
+
 def _matches(node: Node, corpus: Corpus, fuzzy: bool) -> Column:
-    """Whether a document matches a node, over token columns `__t_<field>` and joined `__j_<field>`."""
+    """Whether a document matches a node.
+
+    Over the lower-case text in `__l_<field>`; with Han pairs, and for fuzzy words, over
+    the words in `__t_<field>` (and `__j_<field>`, those joined).
+    """
     if node.kind == "and":
         return reduce(lambda a, b: a & b, [_matches(c, corpus, fuzzy) for c in node.children])
     if node.kind == "or":
@@ -63,8 +80,10 @@ def _matches(node: Node, corpus: Corpus, fuzzy: bool) -> Column:
     fields = [node.field] if node.field else list(corpus.fields)
     tests = []
     for f in fields:
-        t = F.col(f"__t_{f}")
-        if node.kind == "word" and fuzzy:
+        t = F.col(f"__t_{f}") if corpus.cjk or (fuzzy and node.kind == "word") else None
+        if t is None:
+            tests.append(_found(F.col(f"__l_{f}"), node.words, node.kind == "prefix"))
+        elif node.kind == "word" and fuzzy:
             tests.append(F.exists(t, lambda x: A.within_one_edit(x, node.words[0])))
         elif node.kind == "word":
             tests.append(F.array_contains(t, node.words[0]))
@@ -75,6 +94,20 @@ def _matches(node: Node, corpus: Corpus, fuzzy: bool) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _possible(node: Node, corpus: Corpus, fuzzy: bool) -> Column:
+    """What a match implies for the lower-case text: cheap to test before any text is cut into words."""
+    if node.kind in ("and", "or") and node.children:
+        parts = [_possible(c, corpus, fuzzy) for c in node.children]
+        return reduce((lambda a, b: a & b) if node.kind == "and" else (lambda a, b: a | b), parts)
+    if node.kind not in ("word", "prefix", "phrase") or (fuzzy and node.kind == "word"):
+        return F.lit(node.kind != "none")
+    tests = []
+    for f in [node.field] if node.field else corpus.fields:
+        low = F.lower(F.coalesce(F.col(f), F.lit("")))
+        tests.append(reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in node.words]))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def _scoring(query: Query, corpus: Corpus) -> tuple[list[tuple[str, str]], int]:
     """(field, word) pairs that score by BM25, and how many leaves score a constant 1 (prefixes)."""
     pairs, flat = [], 0
@@ -110,10 +143,14 @@ def _leaves(node: Node | None) -> list[Node]:
 def statistics(corpus: Corpus, pairs: list[tuple[str, str]]) -> dict:
     """N, mean length of each field and document frequency of each pair, in one pass; one row comes back."""
     fields = sorted({f for f, _ in pairs})
-    tok = corpus.docs.select(*[corpus.tokens(f).alias(f"__t_{f}") for f in fields])
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(F.size(f"__t_{f}")).alias(f"avg_{f}") for f in fields]]
-    aggs += [F.count_if(F.array_contains(f"__t_{f}", w)).alias(f"df_{i}") for i, (f, w) in enumerate(pairs)]
-    row = tok.agg(*aggs).first()
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for f in fields:
+        length = F.size(corpus.tokens(f)) if corpus.cjk else F.regexp_count(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(A.WORD))
+        aggs.append(F.avg(length).alias(f"avg_{f}"))
+    for i, (f, w) in enumerate(pairs):
+        has = F.array_contains(corpus.tokens(f), w) if corpus.cjk else _found(F.lower(F.col(f)), (w,))
+        aggs.append(F.count_if(has).alias(f"df_{i}"))
+    row = corpus.docs.agg(*aggs).first()
     return {"n": row["n"], **{f"avg_{f}": row[f"avg_{f}"] or 1.0 for f in fields}, **{p: row[f"df_{i}"] for i, p in enumerate(pairs)}}
 
 
@@ -139,26 +176,35 @@ def scored(corpus: Corpus, p: SearchParams) -> DataFrame:
     fuzzy = p.fuzzy and " " not in p.query.strip()
     pairs, flat = ([], 1) if fuzzy else _scoring(query, corpus)
     leaves = _leaves(query.root)
+    if query.root is not None:
+        docs = docs.where(_possible(query.root, corpus, fuzzy))
+    for w in query.names:
+        docs = docs.where(F.contains(F.lower("file_name"), F.lit(w)))
     used = sorted({f for x in leaves if x.words for f in ([x.field] if x.field else corpus.fields)} | ({"file_name"} if query.names else set()))
+    split = corpus.cjk or fuzzy
     for f in used:
-        docs = docs.withColumn(f"__t_{f}", corpus.tokens(f))
-    for f in used:
-        if any(x.kind == "phrase" for x in leaves):
+        docs = docs.withColumn(f"__l_{f}", F.lower(F.coalesce(F.col(f), F.lit(""))))
+        if split:
+            docs = docs.withColumn(f"__t_{f}", corpus.tokens(f))
+        if corpus.cjk and any(x.kind == "phrase" for x in leaves):
             docs = docs.withColumn(f"__j_{f}", A.joined(F.col(f"__t_{f}")))
     if query.root is not None:
         docs = docs.where(_matches(query.root, corpus, fuzzy))
     for w in query.names:
-        docs = docs.where(F.array_contains("__t_file_name", w))
+        docs = docs.where(F.array_contains("__t_file_name", w) if corpus.cjk else _found(F.col("__l_file_name"), (w,)))
     if query.root is None:
         score = F.lit(1.0)
     else:
         stats = statistics(corpus, pairs) if pairs else {}
         parts = []
         for f, w in pairs:
-            tf = occurrences(F.col(f"__t_{f}"), w)
-            parts.append(bm25(tf, stats[f, w], stats["n"], F.size(f"__t_{f}").cast("double"), stats[f"avg_{f}"]))
+            if corpus.cjk:
+                tf, length = occurrences(F.col(f"__t_{f}"), w), F.size(f"__t_{f}").cast("double")
+            else:
+                tf, length = (F.regexp_count(f"__l_{f}", F.lit(x)).cast("double") for x in (_pattern((w,)), A.WORD))
+            parts.append(bm25(tf, stats[f, w], stats["n"], length, stats[f"avg_{f}"]))
         score = reduce(lambda a, b: a + b, parts, F.lit(float(flat)))
-    return docs.withColumn("score", F.round(score, 6)).drop(*[f"__{k}_{f}" for k in "tj" for f in used])
+    return docs.withColumn("score", F.round(score, 6)).drop(*[f"__{k}_{f}" for k in "ltj" for f in used])
 
 
 HIT = ("file_id", "file_name", "file_ext", "dir_id", "path", "mtime", "file_size", "score")
