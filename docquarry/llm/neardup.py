@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -16,42 +17,83 @@ from .text import lists, mix, shingle_codes, word_codes, words
 
 @dataclass(frozen=True)
 class Banding:
-    """`collections` half keys on each side, of `rows` MinHash values each.
+    """`collections` keys on each of `sides` sides, of `rows` MinHash values each.
 
-    A table key joins half key i of the left with half key j of the right side, so
-    collections**2 tables come from 2 * collections * rows hash functions instead of
-    2 * rows * collections**2: about the square root of the hashing.  Two texts of
-    similarity s meet in some table with chance (1 - (1 - s**rows)**collections)**2.
+    With two sides a table key joins half key i of the left with half key j of the right
+    side, so collections**2 tables come from 2 * collections * rows hash functions.  With
+    one side each key is a table.  Two texts of similarity s meet in some table with
+    chance (1 - (1 - s**rows)**collections)**sides.
     """
 
     collections: int = 9
     rows: int = 3
     seed: int = 20240229
+    sides: int = 2
+
+    def chance(self, s: float) -> float:
+        """The chance that two texts of similarity `s` meet in some table."""
+        return (1 - (1 - s**self.rows) ** self.collections) ** self.sides
+
+
+#: The lowest chance with which a pair at the threshold must meet, and the hash functions spent on longer keys for it.
+CHANCE, HASHES = 0.9995, 240
+
+
+def banding_for(threshold: float, chance: float = CHANCE) -> Banding:
+    """The one-sided banding of the longest keys (fewest candidates) within HASHES that reaches `chance` at `threshold`.
+
+    Keys of one row are taken whatever they need, so the chance is always reached.  One
+    side needs far fewer tables than two for such chances: 55 of 4 rows at 0.6 meet with
+    chance 0.9995, where two sides of 3 rows need 1 225 tables.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError(f"no banding for the threshold {threshold}")
+    best, rows = None, 1
+    while True:
+        miss = 1 - threshold**rows
+        count = max(1, ceil(log(1 - chance) / log(miss))) if miss > 0 else 1
+        if best and (count * rows > HASHES or rows > 16):
+            return best
+        best, rows = Banding(count, rows, sides=1), rows + 1
+
+
+#: Shingles that are hashed at a time.
+HASHED = 1 << 15
 
 
 def signatures(shingles: np.ndarray, offsets: np.ndarray, banding: Banding) -> np.ndarray:
     """MinHash values, one row per text (of at least one shingle) and one column per hash function."""
-    count = 2 * banding.collections * banding.rows
+    count = banding.sides * banding.collections * banding.rows
     salts = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(banding.seed))
     out = np.empty((len(offsets) - 1, count), np.uint32)
     base = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    for k in range(count):
-        a, b = np.uint32(salts[k] | np.uint64(1)), np.uint32(salts[k] >> np.uint64(32))
-        h = base * a + b
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(13)
-        out[:, k] = np.minimum.reduceat(h, offsets[:-1])
+    first = 0
+    while first < len(out):  # blocks of texts that stay in the processor's cache
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + HASHED, "right")) - 1)
+        part, starts = base[offsets[first] : offsets[last]], offsets[first:last] - offsets[first]
+        h, shifted = np.empty_like(part), np.empty_like(part)
+        for k in range(count):
+            np.multiply(part, np.uint32(salts[k] | np.uint64(1)), out=h)
+            h += np.uint32(salts[k] >> np.uint64(32))
+            np.right_shift(h, np.uint32(15), out=shifted)
+            h ^= shifted
+            h *= np.uint32(0x85EBCA6B)
+            np.right_shift(h, np.uint32(13), out=shifted)
+            h ^= shifted
+            out[first:last, k] = np.minimum.reduceat(h, starts)
+        first = last
     return out
 
 
 def table_keys(signature: np.ndarray, banding: Banding) -> np.ndarray:
-    """The collections**2 tensored table keys of each text."""
+    """The table keys of each text: collections**sides."""
     m, rows = banding.collections, banding.rows
-    halves = np.zeros((len(signature), 2 * m), np.uint64)
-    for i in range(2 * m):
+    halves = np.zeros((len(signature), banding.sides * m), np.uint64)
+    for i in range(banding.sides * m):
         for r in range(rows):
             halves[:, i] = mix(halves[:, i] * np.uint64(0x9E3779B97F4A7C15) + signature[:, i * rows + r])
+    if banding.sides == 1:
+        return mix(halves * np.uint64(3) + np.arange(m, dtype=np.uint64))
     left, right = halves[:, :m, None], halves[:, None, m:]
     table = np.arange(m * m, dtype=np.uint64).reshape(1, m, m)
     return mix(left * np.uint64(3) + right * np.uint64(0x9E3779B97F4A7C15) + table).reshape(len(signature), m * m)
@@ -78,15 +120,44 @@ def _sets(column: pa.Array, n: int, min_words: int) -> tuple[np.ndarray, np.ndar
     return keep, grams, ends, same.view(np.int64)
 
 
+#: 64-bit words of a class's parity bitmap.
+PARITY = 8
+
+
+def _parity(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """PARITY numbers per set; each shingle flips one bit, so sets differ in at least as many shingles as bits."""
+    bits, sets = PARITY * 64, len(ends) - 1
+    at = np.repeat(np.arange(sets) * bits, np.diff(ends)) + (mix(grams) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=sets * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(sets, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def class_of(df: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
-    """`key` and `same`, a hash of the text's shingle set, of each row with enough words."""
+    """Of each row with enough words: `key`, `same`, a hash of its shingle set, `size` of the set and its bitmap `p0`, `p1`..."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
-            keep, _, _, same = _sets(b.column(1), n, min_words)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(same)], names=[key, "same"])
+            keep, grams, ends, same = _sets(b.column(1), n, min_words)
+            if not len(keep):
+                continue
+            parity = _parity(grams, ends)
+            columns = [pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(same), pa.array(np.diff(ends).astype(np.int32)), *columns], names=[key, "same", "size", *(f"p{i}" for i in range(PARITY))])
+
+    bitmap = ", ".join(f"p{i} bigint" for i in range(PARITY))
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, same bigint, size int, {bitmap}")
+
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, same bigint")
+def possible(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that sizes and bitmaps of `class_of` don't prove to be less alike than `threshold`; none that is alike is lost."""
+    bitmap = [f"p{i}" for i in range(PARITY)]
+    one = known.groupBy("same").agg(*(F.first(c).alias(c) for c in ("size", *bitmap)))
+    left, right = (one.select(F.col("same").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", *bitmap))) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bitmap), F.lit(0))
+    least = F.greatest(differ, F.abs(F.col("a_size") - F.col("b_size")))
+    # of sets alike by t, at most (1 - t) / (1 + t) of all shingles are in one only
+    most = (1 - threshold) / (1 + threshold) * (F.col("a_size") + F.col("b_size")) + 1e-6
+    return pairs.join(left, "a").join(right, "b").where(least <= most).select("a", "b")
 
 
 def _fresh(same: np.ndarray, seen: set) -> np.ndarray:
@@ -189,7 +260,7 @@ def block_pairs(large: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, min_words: int = 0, banding: Banding = Banding()) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, min_words: int = 0, banding: Banding | None = None) -> tuple[DataFrame, DataFrame]:
     """(`links`, `members`): similar pairs of class representatives, and the class of each record.
 
     `members` has `key` and `same`, the class of texts with one and the same shingle set;
@@ -197,16 +268,21 @@ def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     verified on the whole sets.  A text counts if it has `min_words` words and a shingle;
     null, empty and shorter texts are in neither result, an empty table gives none.
     Repeated rows and copies are one class and never multiply pairs.  Candidates come from
-    all tensored tables without a cap; the pairs of a large bucket are made in blocks by many
-    tasks.  Shingle sets are built anew where they are needed
+    all tables without a cap; the pairs of a large bucket are made in blocks by many tasks.
+    The banding is that of `threshold` unless one is given: a pair right at the threshold
+    meets in some table with chance 0.9995 or more by `Banding.chance`, a more similar one
+    with a higher chance (0.6: 0.99952, 0.65: 0.99998, 0.7: 0.9999997).  Shingle sets are built anew where they are needed
     (a few CPU seconds) instead of being stored (more disk than the texts themselves).
     """
-    members = checkpointed(class_of(df, key, text, n, min_words).distinct())
+    banding = banding or banding_for(threshold)
+    known = checkpointed(class_of(df, key, text, n, min_words).distinct())
+    members = known.select(key, "same")
     keyed = bucketed(df, text, n, min_words, banding).repartition("bucket").sortWithinPartitions("bucket", "same")
     met = checkpointed(keyed.mapInArrow(_meet, "a bigint, b bigint, bucket bigint, size bigint").distinct())
     pairs, large = met.where("b is not null").select("a", "b"), met.where("b is null")
     if not large.isEmpty():
         pairs = checkpointed(pairs.unionByName(block_pairs(large)).distinct())
+    pairs = checkpointed(possible(pairs, known, threshold))
     need = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
     sets = set_of(df, text, n, min_words).join(need, "same", "left_semi").groupBy("same").agg(F.first("grams").alias("grams"))
     verified = (

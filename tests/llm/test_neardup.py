@@ -113,3 +113,35 @@ def test_same_links_with_small_blocks(spark):
     df = spark.createDataFrame(rows, "id string, t string")
     links, _ = neardup.similar_pairs(df, "id", "t", n=3, threshold=0.6, min_words=20)
     assert links.count() == 30 * 29 // 2
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 1.0])
+def test_default_banding_reaches_the_threshold(threshold):
+    b = neardup.banding_for(threshold)
+    assert b.chance(threshold) >= 0.999
+    assert neardup.Banding().chance(0.6) < 0.8
+
+
+def test_pairs_at_the_threshold_are_kept(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        base = [f"b{i}x{k}" for k in range(40)]
+        edit = list(base)
+        for at in rng.sample([1, 5, 10, 15, 20, 25, 30, 35], 3):
+            edit[at] = "new"
+        rows += [(f"{i}-0", " ".join(base)), (f"{i}-1", " ".join(edit))]
+    sets = {k: grams(t) for k, t in rows}
+    want = sum(len(sets[f"{i}-0"] & sets[f"{i}-1"]) / len(sets[f"{i}-0"] | sets[f"{i}-1"]) >= 0.6 for i in range(120))
+    links, _ = neardup.similar_pairs(spark.createDataFrame(rows, "id string, t string"), "id", "t", n=3, threshold=0.6, min_words=20)
+    assert want > 100 and links.count() == want
+
+
+def test_bitmap_is_a_lower_bound():
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for own in (0, 1, 40, 900):
+        a, c = (np.concatenate([shared, rng.integers(0, 2**63, own, dtype=np.uint64)]) for _ in range(2))
+        p = neardup._parity(np.concatenate([a, c]), np.array([0, len(a), len(a) + len(c)]))
+        bits = sum(int(x).bit_count() for x in (p[0] ^ p[1]).view(np.uint64))
+        assert bits <= 2 * own and (bits > 0) == (own > 0)
