@@ -46,7 +46,10 @@ _WORD = re.compile(r"[^\W_]+")
 _PARTICIPANTS = re.compile(r"^(?:participants?|attendees|present|teilnehmer|participantes|asistentes)\s*:\s*(.+)$", re.I)
 
 #: Texts that can't hold a transcript are left out before any Python runs.
-MAYBE = r"(?m)(-->|[\[(]\d[\d:.,]*\s?s?[\])]\s?:|^\s*>>|^<v |^[\[(]?\d[\d:.,]*\s?s?[\])]\s*\S|^\s*((\d{1,3}:)?\d{1,2}:\d{2}([.,]\d{1,3})?|\d+([.,]\d+)?\s?s(ec)?)\s*$|^[^\n:]{1,60}?(:| [–—-]) )"
+MAYBE = (
+    r"(?mU)(-->|[\[(]\d[\d:.,]*\s?s?(ec)?[\])]\s*(:|[–—-])|^\s*>>|^\s*<v[.\s]|^\s*[\[(]?\d[\d:.,]*\s?s?(ec)?[\])]\s*\S|^\s*((\d{1,3}:)?\d{1,2}:\d{2}([.,]\d{1,3})?|\d+([.,]\d+)?\s?s(ec)?)\s*$"
+    r"|^[^\S\n]*[^\n:]{1,60}?(:| [–—-])(\s|$))"  # what _LINE takes for a label, alone on its line or before any white space
+)
 
 
 def seconds(mark: str) -> float:

@@ -74,3 +74,12 @@ def test_frame(spark):
     got = T.speaker_turns(df, "id", "t").distinct().collect()
     assert {r["id"] for r in got} == set(FORMATS) and len(got) == 3 * len(FORMATS)
     assert T.speaker_turns(df.limit(0), "id", "t").count() == 0
+
+
+@pytest.mark.parametrize("shape", ["{w}:\n{s}", "{w}:\t{s}", "{w}:\r\n{s}", "{w}:\xa0{s}", "{pad}{w}:\n{s}", "{w} –\t{s}", "{w} ({t}):\n{s}"])
+def test_separators_of_the_parser_pass_the_filter(spark, shape):
+    text = "\n".join(shape.format(w=w, s=s, pad=" " * 50, t=clock(i)) for i, (w, s) in enumerate(zip(WHO, SAID)))
+    want = [t[1] for t in T.turns(text)]
+    df = spark.createDataFrame([("a", text)], "id string, t string")
+    got = [r["speaker"] for r in T.speaker_turns(df, "id", "t", T.Model()).orderBy("turn_no").collect()]
+    assert got == want == WANT
