@@ -38,7 +38,8 @@ _FILES = "png|jpg|jpeg|gif|svg|webp|pdf|txt|csv|log|md|zip|docx|xlsx|js|py|css|h
 _AT = r"(?:@|＠|\s?[(\[{]\s?(?:at|AT|@)\s?[)\]}]\s?|\s(?:at|AT)\s(?=[A-Za-z0-9-]{2,}\s(?:dot|DOT)\s))"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}]\s?|\s(?:dot|DOT)\s)"
 _EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+(?![A-Za-z0-9])")
-_S = r"[ .\-/\xa0\n]"
+#: What may stand for a blank within a number: also a no-break space or, where nothing else fits, a line break.
+_S, _S_BROKEN = r" \xa0", r" \xa0\n"
 _PHONES = [
     r"(?:\+1[ .-]?)?(?:\([2-9]\d\d\)\s?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}",
     r"(?:\+44[ -]?(?:\(0\)[ -]?)?|\(?0)(?:20\)?[ -]?\d{4}[ -]?\d{4}|1\d{2,3}\)?[ -]?\d{3}[ -]?\d{3,4}|[37]\d{2,3}[ -]?\d{3}[ -]?\d{3,4})",
@@ -46,12 +47,12 @@ _PHONES = [
     r"(?:(?:\+34|\(\+34\)|0034)[ .-]?)?[6789]\d\d[ .-]?\d{3}[ .-]?\d{3}",
     r"(?:\+34[ .-]?)?[6789]\d\d(?:[ .-]?\d\d){3}",
     r"(?:(?:\+|00)49[ /-]?(?:\(0\)[ -]?)?|\(?0)[1-9]\d{1,3}\)?[ /-]{1,3}\d{3,8}(?:[ -]\d{2,4})?",
-    r"(?:\+86[ -]?)?(?:\(0?\d{2,3}\)|0\d{2,3}|(?<=\+86 )\d{2,3})[ -]?\d{4}[ -]?\d{4}",
+    r"(?:\+86[ -]?)?(?:\(0?\d{2,3}\)|0\d{2,3}|(?<=\+86[ ])\d{2,3})[ -]?\d{4}[ -]?\d{4}",
     r"(?:\+86[ -]?)?1[3-9]\d[ -]?\d{4}[ -]?\d{4}",
     r"(?:\(\+\d{1,3}\)|\+\d{1,3}|00[1-9]\d)[ ./-]?(?:\(?\d{1,4}\)?[ .-]){1,4}\d{2,4}",
 ]
-_PHONE = [re.compile(p) for p in _PHONES]
-_NUMBERISH = re.compile(r"(?<![\w+(])(?:\(\+|\+|\(0?)?\d[\d \xa0\n().\-/]{7,22}\d(?![\w])|(?<=[一-鿿])(?:\(\+|\+|\(0?)?\d[\d \xa0().\-/]{7,22}\d")
+_PHONE, _PHONE_BROKEN = ([re.compile(p.replace("[ ", f"[{s}")) for p in _PHONES] for s in (_S, _S_BROKEN))
+_NUMBERISH = re.compile(r"(?<![\w+(])(?:\(\+|\+|\(0?)?\d[\d \xa0\n().\-/]{7,22}\d(?![\w])|(?<=[一-鿿])(?:\(\+|\+|\(0?)?\d[\d \xa0\n().\-/]{7,22}\d")
 _IDS = [
     r"\d{3}-\d{2}-\d{4}", r"\d{3} \d{2} \d{4}", r"\d{9}",
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]",
@@ -76,7 +77,7 @@ _ADDRESS = [re.compile(rf"(?<!\w){p}" if i < 4 else p) for i, p in enumerate(_AD
 _ADDRESS_MAYBE = (
     rf"\b(?:{_STREET_EN})\b",
     rf"\d\s?(?:bis|ter|quater|[a-zA-Z])?,?\s+(?:{_STREET_FR})\b",
-    r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|graben|steig|markt|hof|Am \p{Lu}\p{L}+|An de[rn] \p{Lu}\p{L}+|Im \p{Lu}\p{L}+|In der \p{Lu}\p{L}+|Zu[mr] \p{Lu}\p{L}+|Auf de[mr] \p{Lu}\p{L}+)\s+\d",
+    r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|graben|steig|markt|hof|(?:Am|An de[rn]|Im|In der|Zu[mr]|Auf de[mr]|Unter den|Alter?|Neuer?)\s\p{Lu}\p{L}+)\s+\d",
     rf"(?:{_STREET_ES})\.?\s",
     r"(?:街|路|巷|大道|弄|胡同)\s?\d{1,5}\s?号",
 )
@@ -114,6 +115,11 @@ _CALL, _LIVE, _OUT, _SAYS_ID = re.compile(CALLING, re.I), re.compile(LIVING, re.
 _GIVEN_SET = frozenset(x for g in GIVEN.split() for x in (g.lower(),))
 
 
+def _first(patterns: list[re.Pattern], text: str, at: int, stop: int) -> tuple[int, int]:
+    """The start and negative end of the first, then longest match; -1 if there is none."""
+    return min(((m.start(), -m.end()) for p in patterns if (m := p.search(text, at, stop))), default=(-1, 0))
+
+
 def spans(text: str, may: frozenset) -> list[Span]:
     """Candidate spans of the kinds in `may` (address_0 .. for its countries) with the labelers' votes as bits."""
     out: list[Span] = []
@@ -138,7 +144,9 @@ def spans(text: str, may: frozenset) -> list[Span]:
         for n in _NUMBERISH.finditer(text):
             at = n.start()
             while at < n.end():
-                start, end = min(((m.start(), -m.end()) for p in _PHONE if (m := p.search(text, at, n.end()))), default=(-1, 0))
+                start, end = _first(_PHONE, text, at, n.end())
+                broken = _first(_PHONE_BROKEN, text, at, start if start >= 0 else n.end())  # only where no number is whole
+                start, end = broken if broken[0] >= 0 else (start, end)
                 if start < 0:
                     break
                 m, at = text[start:-end], -end
@@ -146,8 +154,8 @@ def spans(text: str, may: frozenset) -> list[Span]:
                 if re.search(r"(?:[\d+(][ .\-/(]?|[A-Za-z\-.])\Z", before) or re.match(r"[ .\-/]?\d{2}|\d|-[A-Za-z]", after):
                     continue
                 digits = len(re.sub(r"\D", "", m))
-                full = any(p.fullmatch(m) for p in _PHONE[:8])
-                out.append(Span("phone", start, at, _bits(full and 8 <= digits <= 14, m[0] in "+(0" or bool(re.search(r"[ .-]", m)), bool(_CALL.search(before)) or _lone(before, after), not _SAYS_ID.search(before[-24:]), not _OUT.search(before))))
+                full = any(p.fullmatch(m) for p in _PHONE_BROKEN[:8])
+                out.append(Span("phone", start, at, _bits(full and 8 <= digits <= 14, m[0] in "+(0" or bool(re.search(r"[ \xa0\n.-]", m)), bool(_CALL.search(before)) or _lone(before, after), not _SAYS_ID.search(before[-24:]), not _OUT.search(before))))
     for i, pattern in enumerate(_ADDRESS):
         if f"address_{i}" not in may:
             continue
@@ -236,9 +244,9 @@ def classifier(counts: dict[int, int], rounds: int = 400) -> dict[int, float]:
 _GIVEN_MAYBE = r"\b(?:" + "|".join(sorted({n for g in GIVEN.split() for n in (g, g.upper())})) + r")\b"
 _MAYBE = {
     "email": r"@|＠|[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:dot|DOT)\s",
-    "id_number": r"\d{3}[- ]\d{2}[- ]\d{4}|\d{9}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|\d{2} \d{3} \d{3} \d{3}|\d \d{2} \d{2} \d{2} \d{3}|\d{2}\.?\d{3}\.?\d{3} ?-? ?[A-Z]\b|[A-Z]{1,2} ?-? ?\d{6,}",
-    "phone": r"\d[)\]]?[ .\-/\x{a0}]{1,3}\d{2,8}[ .\-/]?\d{2}|\d{9,}",
-    **{f"address_{i}": p for i, p in enumerate(_ADDRESS_MAYBE)},
+    "id_number": "|".join(p.replace(" ", r"[ \x{a0}\n]") for p in _IDS),
+    "phone": r"\d[\d \x{a0}\n().\-/]{7,22}\d",  # as _NUMBERISH
+    **{f"address_{i}": p.replace(r"\s", r"[\s\p{Z}]") for i, p in enumerate(_ADDRESS_MAYBE)},
     "name": r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(sorted({n for g in GIVEN.split() for n in (g, g.upper())})) + r")(?:[^\p{L}\p{N}_]|$)",
 }
 

@@ -64,3 +64,18 @@ def test_em_separates_labelers():
     assert yes[4] > 0.8 and no[2] < 0.3
     p = P.classifier(counts)
     assert p[0b11111] > 0.9 and p[0b11101] > 0.5 and p[0b00001] < 0.3 and len(p) == 32
+
+
+@pytest.mark.parametrize("text,kind,val", [("Er wohnt Unter den Linden 77, 10117 Berlin.", "address", "Unter den Linden 77, 10117 Berlin"), ("Adresse: Alter Markt 5, 50667 Köln", "address", "Alter Markt 5, 50667 Köln"), ("SSN 123\xa045\n6789 was given.", "id_number", "123 45 6789"), ("Please call 212\xa0555\xa00123 today.", "phone", "212 555 0123"), ("Please call (212) 555\n0123 today.", "phone", "(212) 555 0123")])
+def test_filters_are_no_narrower_than_the_labelers(spark, text, kind, val):
+    df = spark.createDataFrame([("a", text)], "id string, t string")
+    assert (kind, val) in {(r["kind"], r["val"]) for r in P.candidates(df, "id", "t").collect()}
+
+
+def test_a_phone_number_ends_before_the_next_line():
+    assert [x for x in P.spans("Tel. 030 1234567\n1234 Stück", frozenset(["phone"])) if x.end > 16] == []
+
+
+def test_a_number_above_is_no_part_of_a_phone_number():
+    text = "52 Lantern Way, Torramer, ZZ 42802\n020 7946 0227"
+    assert [text[x.start : x.end] for x in P.spans(text, frozenset(["phone"]))] == ["020 7946 0227"]
