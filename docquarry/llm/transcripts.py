@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from random import Random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,10 @@ MAYBE = (
 )
 
 
+#: Lines of a transcript that the model is fitted on, at most.  Any number is divided.
+SAMPLE_LINES = 300
+
+
 def seconds(mark: str) -> float:
     """Seconds of a time mark such as 00:01:02.5, 01:02 or 62.5s."""
     mark = mark.strip().rstrip("sec ").replace(",", ".")
@@ -82,6 +88,13 @@ class Line:
     shape: int = 0  # 0 no label, 1 any words, 2 name-like, 3 numbered speaker, role or voice mark
     head: bool = False
     parts: frozenset = field(default_factory=frozenset)
+    bare: int = 0  # the shape without regard to marks
+    marked: bool = False  # a time, a speaker mark or a cue stands with the label
+    raw: str = ""  # the whole line, for one that is no label after all
+
+    def said(self) -> str:
+        """What is said in the line if it goes on with a turn."""
+        return self.raw if self.label and self.raw else self.text
 
 
 def _stripped(label: str) -> str:
@@ -126,12 +139,12 @@ def parse(text: str) -> list[Line]:
             i += 1
             continue
         if m := _VOICE.match(s):
-            out.append(Line(m[2].replace("</v>", ""), m[1].strip(), pending, 3))
+            out.append(Line(m[2].replace("</v>", ""), m[1].strip(), pending, 3, bare=_shape(m[1].strip()), marked=True))
             pending = None
             i += 1
             continue
         if (m := _ALONE.match(nxt)) and len(s) <= 60 and _shape(s) >= 2:
-            out.append(Line("", s, seconds(m[1]), 3))
+            out.append(Line("", s, seconds(m[1]), 3, bare=_shape(s), marked=True))
             i += 2
             continue
         m = _LINE.match(s)
@@ -143,7 +156,7 @@ def parse(text: str) -> list[Line]:
             when = seconds(t) if t else pending
             marked = bool(t or m["mark"] or m["mark2"] or pending is not None)
             head = not shape
-            out.append(Line(m["text"] or "", m["label"].strip(), when, 3 if marked and shape >= 2 else shape, head))
+            out.append(Line(m["text"] or "", m["label"].strip(), when, 3 if marked and shape >= 2 else shape, head, bare=shape, marked=marked, raw=s))
             pending = None
         elif (m := _BARE.match(s)) and not _ALONE.match(s):
             out.append(Line(m["text"], None, seconds(m["t"])))
@@ -158,71 +171,76 @@ def parse(text: str) -> list[Line]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of a semi-Markov model over runs of lines: `turn` for whole turns, `rest` for single lines outside any.
+    """Weights of a semi-Markov conditional model that divides lines into whole turns and single lines outside any.
 
-    A turn is scored by its first line's label (shape, and whether it recurs), its time
-    mark and pause, the labels inside it (which a turn should not have) and the words
-    its lines share; a line outside by what it has of a label and where it stands.
+    A turn is scored by its first line (label, marks, pause, how the line before ends,
+    shared words), by each further line of it, and by its length; a line outside by what
+    it has of a label and where it stands.  The chance of a division is its exponentiated
+    score over that of all divisions.  Without training the weights are as below.
     """
 
-    turn: tuple[float, ...] = (-1.0, -2.0, -0.5, 1.5, 3.0, 0.8, 0.6, 0.1, -3.0, 0.6, 0.2)
-    rest: tuple[float, ...] = (0.0, 0.6, 1.5, -0.8, -2.0, -1.0)
-
-
-LONGEST = 400
-
+    start: tuple[float, ...] = (-1.0, -3.0, -0.5, 3.0, 4.0, 2.0, 3.0, 0.5, 1.0, 0.3, 0.2, -0.5, -6.0)
+    inside: tuple[float, ...] = (0.5, 1.0, 0.5, -3.0, -4.0, -2.0, -3.0, -0.5, -1.0, 0.0, 0.5, -6.0)
+    rest: tuple[float, ...] = (-1.0, 2.5, 5.0, -2.0, -3.0, -1.0, -4.0, -0.5)
+    length: tuple[float, ...] = (0.0, 0.0, 0.0)
 
-def _turn_features(lines: list[Line], i: int, often: Counter, before: float | None) -> list[float]:
-    x = lines[i]
-    gap = min(30.0, max(0.0, x.time - before)) / 30 if x.time is not None and before is not None else 0.0
-    return [1.0, float(x.label is None), float(x.shape == 1), float(x.shape == 2), float(x.shape == 3), float(often[_stripped(x.label).lower()] > 1 if x.label else 0), float(x.time is not None), gap]
+    def flat(self) -> np.ndarray:
+        return np.array([*self.start, *self.inside, *self.rest, *self.length])
 
+    @staticmethod
+    def of(w: np.ndarray) -> "Model":
+        ends = np.cumsum([len(Model.start), len(Model.inside), len(Model.rest)])
+        return Model(*(tuple(float(x) for x in part) for part in np.split(w, ends)))
 
-def _inside_features(lines: list[Line], k: int) -> list[float]:
-    x = lines[k]
-    shared = len(x.parts & lines[k - 1].parts) / max(1, min(len(x.parts), len(lines[k - 1].parts)))
-    return [float(x.shape >= 2), float(x.shape < 2), shared]
 
-
-def _rest_features(lines: list[Line], i: int, spoke: bool) -> list[float]:
-    x = lines[i]
-    return [1.0, float(not spoke), float(x.head), float(x.label is None and spoke), float(x.shape >= 2), float(x.shape >= 2 and spoke)]
-
-
-def _dot(w: tuple[float, ...], f: list[float]) -> float:
-    return sum(a * b for a, b in zip(w, f))
+def features(lines: list[Line]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line what it says for the beginning of a turn, for going on with one, and for standing outside."""
+    n = len(lines)
+    often = Counter(_stripped(x.label).lower() for x in lines if x.label)
+    first = next((i for i, x in enumerate(lines) if x.bare >= 2 or x.marked), n)
+    begin, on, out = [], [], []
+    before: float | None = None
+    for i, x in enumerate(lines):
+        last = lines[i - 1] if i else None
+        near = frozenset().union(*(y.parts for y in lines[max(0, i - 3) : i]))
+        close = len(x.parts & last.parts) / max(1, min(len(x.parts), len(last.parts))) if last else 0.0
+        shared = len(x.parts & near) / max(1, min(len(x.parts), len(near)))
+        gap = min(30.0, max(0.0, x.time - before)) / 30 if x.time is not None and before is not None else 0.0
+        before = x.time if x.time is not None else before
+        end = last.text.rstrip()[-1:] if last else ""
+        label = [float(x.label is None), float(x.bare == 1), float(x.bare == 2), float(x.bare == 3), float(bool(x.label) and often[_stripped(x.label).lower()] > 1), float(x.marked), float(x.time is not None), gap, float(end in ".?!…")]
+        spoke = i > first
+        begin.append([1.0, *label, float(end == "?"), close, float(x.head)])
+        on.append([1.0, *label, shared, float(x.head)])
+        out.append([1.0, float(not spoke), float(x.head), float(x.label is None and spoke), float(x.bare >= 2), float(x.bare >= 2 and spoke), float(x.marked), float(x.time is not None)])
+    return np.array(begin).reshape(n, -1), np.array(on).reshape(n, -1), np.array(out).reshape(n, -1)
 
 
 def segment(lines: list[Line], model: Model) -> list[tuple[int, int, bool]]:
-    """The best division of the lines into (start, end, is a turn), by dynamic programming over whole segments."""
-    n = len(lines)
-    often = Counter(_stripped(x.label).lower() for x in lines if x.label)
-    first = next((i for i, x in enumerate(lines) if x.shape >= 2), n)
-    times, last = [], None
-    for x in lines:
-        times.append(last)
-        last = x.time if x.time is not None else last
-    k = len(model.turn) - 3
-    inside = [0.0] + [_dot(model.turn[k:], _inside_features(lines, j)) for j in range(1, n)]
-    best, back = [0.0] + [float("-inf")] * n, [(0, False)] * (n + 1)
-    for i in range(n):
-        score = best[i] + _dot(model.rest, _rest_features(lines, i, i > first))
-        if score > best[i + 1]:
-            best[i + 1], back[i + 1] = score, (i, False)
-        score = best[i] + _dot(model.turn[:k], _turn_features(lines, i, often, times[i]))
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            if j > i + 1:
-                score += inside[j - 1]
-                if lines[j - 1].shape >= 2 and model.turn[k] < 0 and j - i > 8:
-                    break
-            if score > best[j]:
-                best[j], back[j] = score, (i, True)
-    out, j = [], n
-    while j:
-        i, turn = back[j]
-        out.append((i, j, turn))
-        j = i
-    return out[::-1]
+    """The most likely division of the lines into (start, end, is a turn), by dynamic programming.
+
+    A state is outside, or the number of lines of the turn so far, of which all from the
+    fourth on count alike; so turns of any length are looked at, in time linear in the lines.
+    """
+    if not lines:
+        return []
+    begin, on, out = (f @ np.array(w) for f, w in zip(features(lines), (model.start, model.inside, model.rest)))
+    one, two, more = model.length
+    best = [0.0, *[float("-inf")] * 4]
+    back: list[tuple[int, ...]] = []
+    for a, u, r in zip(begin.tolist(), on.tolist(), out.tolist()):
+        top = max(range(5), key=best.__getitem__)
+        long = 3 if best[3] >= best[4] else 4
+        back.append((top, top, 1, 2, long))
+        best = [best[top] + r, best[top] + a, best[1] + u + one, best[2] + u + two, best[long] + u + more]
+    state = max(range(5), key=best.__getitem__)
+    found, end = [], len(lines)
+    for i in range(len(lines) - 1, -1, -1):
+        if state < 2:
+            found.append((i, end, state == 1))
+            end = i
+        state = back[i][state]
+    return found[::-1]
 
 
 def weak_labels(lines: list[Line]) -> list[tuple[int, int, bool]]:
@@ -238,45 +256,94 @@ def weak_labels(lines: list[Line]) -> list[tuple[int, int, bool]]:
     return out
 
 
-def train(texts: list[str], epochs: int = 3, start: Model = Model()) -> Model:
-    """An averaged structured perceptron on transcripts whose marks are complete; every second time their times are hidden.
+def hidden(lines: list[Line], rng: Random) -> list[Line]:
+    """The lines as a worse transcript would have them: times, speaker marks or the looks of labels are missing, on all or on part of the lines."""
+    times, marks, looks, labels = rng.choice([(0.0, 0.0, 0.0, 0.0), (1.0, 1.0, 0.0, 0.0), (0.3, 0.3, 0.0, 0.0), (0.5, 0.5, 0.3, 0.0), (1.0, 1.0, 0.3, 0.0), (0.2, 0.2, 0.2, 0.15)])
+    out = []
+    for x in lines:
+        y = replace(x)
+        if rng.random() < times:
+            y.time = None
+        if rng.random() < marks:
+            y.marked, y.shape = False, y.bare
+        if y.bare >= 2 and rng.random() < looks:
+            y.bare = y.shape = 1
+            y.marked = False
+        if y.label and rng.random() < labels:
+            y.label, y.bare, y.shape, y.marked, y.text = None, 0, 0, False, y.text or y.raw
+        out.append(y)
+    return out
+
 
-    Every second text is held out; `start` stays if the learned model divides fewer of them rightly.
+def _padded(data: list[tuple[list[Line], list[tuple[int, int, bool]]]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features of all texts with zeros after their ends, which lines are there, and the state of each line."""
+    longest = max(len(lines) for lines, _ in data)
+    parts = [np.zeros((len(data), longest, n)) for n in (len(Model.start), len(Model.inside), len(Model.rest))]
+    there, state = np.zeros((len(data), longest)), np.zeros((len(data), longest), int)
+    for k, (lines, gold) in enumerate(data):
+        there[k, : len(lines)] = 1
+        for part, f in zip(parts, features(lines)):
+            part[k, : len(lines)] = f
+        for i, j, turn in gold:
+            for q in range(i, j):
+                state[k, q] = min(4, 1 + q - i) if turn else 0
+    return parts, there, state
+
+
+def _likelihood(w: np.ndarray, parts: list[np.ndarray], there: np.ndarray, state: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log-likelihood of the divisions, and its gradient, by forward and backward sums over all divisions."""
+    m = Model.of(w)
+    begin, on, out = (f @ np.array(x) for f, x in zip(parts, (m.start, m.inside, m.rest)))
+    texts, n = there.shape
+    score = np.stack([out, begin, *(on + d for d in m.length)], 2)  # (text, line, state)
+    low = -1e9
+    forward, backward = np.full((n + 1, texts, 5), low), np.zeros((n + 1, texts, 5))
+    forward[0, :, 0] = 0.0
+    for t in range(n):
+        f = forward[t]
+        every = np.logaddexp.reduce(f, axis=1)
+        now = score[:, t] + np.stack([every, every, f[:, 1], f[:, 2], np.logaddexp(f[:, 3], f[:, 4])], 1)
+        forward[t + 1] = np.where(there[:, t, None] > 0, np.maximum(now, low), f)
+    for t in range(n - 1, -1, -1):
+        g = backward[t + 1] + score[:, t]
+        free = np.logaddexp(g[:, 0], g[:, 1])
+        now = np.stack([free, np.logaddexp(free, g[:, 2]), np.logaddexp(free, g[:, 3]), np.logaddexp(free, g[:, 4]), np.logaddexp(free, g[:, 4])], 1)
+        backward[t] = np.where(there[:, t, None] > 0, now, backward[t + 1])
+    total = np.logaddexp.reduce(forward[n], axis=1)
+    chance = np.exp(np.minimum(forward[1:].transpose(1, 0, 2) + backward[1:].transpose(1, 0, 2) - total[:, None, None], 0)) * there[:, :, None]
+    gold = np.eye(5)[state] * there[:, :, None]
+    rest = gold - chance
+    sides = [rest[:, :, 1], rest[:, :, 2:].sum(2), rest[:, :, 0]]
+    gradient = np.concatenate([*(np.einsum("ktf,kt->f", f, r) for f, r in zip(parts, sides)), rest[:, :, 2:].sum((0, 1))])
+    return float((score * gold).sum() - total.sum()), gradient
+
+
+def train(texts: list[str], rounds: int = 60, start: Model = Model(), seed: int = 7) -> Model:
+    """The weights of greatest penalised likelihood on transcripts whose marks are complete, with part of the marks hidden.
+
+    What the complete marks say is what the model has to find from the rest, so it learns
+    how much recurring labels, pauses, line ends and shared words are worth.  Every second
+    text is held out; `start` stays if it makes their divisions more likely.
     """
-    turn, rest = list(start.turn), list(start.rest)
-    sums, steps = [0.0] * (len(turn) + len(rest)), 0
-    k = len(turn) - 3
-    every = [(lines, weak_labels(lines)) for lines in map(parse, texts) if len(lines) < 300]
+    every = [(lines, weak_labels(lines)) for lines in map(parse, texts) if len(lines) <= SAMPLE_LINES]
     every = [x for x in every if sum(t for _, _, t in x[1]) >= 2]
-    data, held = every[::2], every[1::2]
-    for epoch in range(epochs):
-        for lines, gold in data:
-            if epoch % 2:
-                lines = [Line(x.text, x.label, None, x.shape, x.head, x.parts) for x in lines]
-            guess = segment(lines, Model(tuple(turn), tuple(rest)))
-            if guess != gold:
-                often = Counter(_stripped(x.label).lower() for x in lines if x.label)
-                first = next((i for i, x in enumerate(lines) if x.shape >= 2), len(lines))
-                for segments, sign in ((gold, 0.02), (guess, -0.02)):
-                    for i, j, is_turn in segments:
-                        if is_turn:
-                            before = next((x.time for x in reversed(lines[:i]) if x.time is not None), None)
-                            f = _turn_features(lines, i, often, before) + [sum(c) for c in zip(*[_inside_features(lines, q) for q in range(i + 1, j)])]
-                            f += [0.0] * (k + 3 - len(f))
-                            turn = [a + sign * b for a, b in zip(turn, f)]
-                        else:
-                            rest = [a + sign * b for a, b in zip(rest, _rest_features(lines, i, i > first))]
-            sums = [a + b for a, b in zip(sums, turn + rest)]
-            steps += 1
-    if not steps:
+    rng = Random(seed)
+    views = [[(hidden(lines, rng), gold) for lines, gold in half for _ in range(2)] + half for half in (every[::2], every[1::2])]
+    if not all(views):
         return start
-    mean = [a / steps for a in sums]
-    learned = Model(tuple(mean[: len(turn)]), tuple(mean[len(turn) :]))
-
-    def right(model: Model) -> int:
-        return sum(segment(lines, model) == gold for lines, gold in held)
-
-    return learned if right(learned) >= right(start) else start
+    data, held = map(_padded, views)
+    prior, w = start.flat(), start.flat()
+    step, sign, best, top = np.full(len(w), 0.1), np.zeros(len(w)), w, float("-inf")
+    for _ in range(rounds):  # steps by the sign of the gradient
+        value, g = _likelihood(w, *data)
+        value, g = value - 0.5 * ((w - prior) ** 2).sum(), g - (w - prior)
+        if value > top:
+            best, top = w, value
+        turned = np.sign(g) * sign
+        step = np.clip(np.where(turned > 0, step * 1.2, np.where(turned < 0, step * 0.5, step)), 1e-4, 0.5)
+        sign = np.where(turned < 0, 0.0, np.sign(g))
+        w = w + sign * step
+    return Model.of(best) if _likelihood(best, *held)[0] > _likelihood(prior, *held)[0] else start
 
 
 def speaker_names(labels: list[str], present: list[str] = ()) -> dict[str, str]:
@@ -341,11 +408,11 @@ def turns(text: str | None, model: Model = Model()) -> list[tuple[int, str, floa
         return []
     found = []
     for i, j, is_turn in segment(lines, model):
-        if is_turn and lines[i].label and lines[i].shape >= 2:
-            found.append((lines[i].label, lines[i].time, " ".join(x.text for x in lines[i:j] if x.text)))
+        if is_turn and lines[i].label and not lines[i].head:
+            found.append((lines[i].label, lines[i].time, " ".join(x for x in (lines[i].text, *(y.said() for y in lines[i + 1 : j])) if x)))
         elif is_turn and found:
             label, time, said = found[-1]
-            found[-1] = (label, time, f"{said} " + " ".join(x.text for x in lines[i:j]))
+            found[-1] = (label, time, f"{said} " + " ".join(x.said() for x in lines[i:j]))
     if len(found) < 2:
         return []
     present = [p.strip() for x in text.splitlines() if (m := _PARTICIPANTS.match(x.strip())) for p in m[1].split(",")]
@@ -363,13 +430,13 @@ def turns(text: str | None, model: Model = Model()) -> list[tuple[int, str, floa
     return [(i, name, time, said) for i, (name, time, said) in enumerate(out, 1)]
 
 
-#: Transcripts that the model is trained on, at most; those with the smallest hash of the key.
-SAMPLE = 200
+#: Transcripts that the model is fitted on, at most; those with the smallest hash of the key, and of at most so many characters.
+SAMPLE, SAMPLE_CHARS = 200, 20_000
 
 
 def fitted(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
     """A model trained on a bounded sample of the table's transcripts with complete marks."""
-    marked = df.where(F.col(text).rlike(r"(?m)^(<v |>>|\[\d|\d+:\d\d|[^\n:]{2,40}\(\d)") & (F.char_length(text) < 20_000))
+    marked = df.where(F.col(text).rlike(r"(?m)^(<v |>>|\[\d|\d+:\d\d|[^\n:]{2,40}\(\d)") & (F.char_length(text) < SAMPLE_CHARS))
     chosen = [r[0] for r in marked.select(key, F.xxhash64(key).alias("h")).distinct().orderBy("h", key).limit(sample).select(key).collect()]
     texts = marked.where(F.col(key).isin(chosen)).select(key, text).dropDuplicates([key]) if chosen else marked.limit(0).select(key, text)
     return train([r[1] for r in sorted(texts.collect())])

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from docquarry.llm import transcripts as T
@@ -63,6 +66,77 @@ def test_training_and_held_out():
     assert T.train([]) == T.Model()
 
 
+def generated(seed):
+    """A transcript of three speakers in one of the formats with marks."""
+    rng = random.Random(seed)
+    words = "budget draft page ledger friday roster garden museum letter contract office survey plan archive".split()
+    at, out, style = 0, [], rng.choice(["bracket", "paren", "arrows", "block", "plain"])
+    for i in range(rng.randint(8, 20)):
+        who = rng.choice(["Anna Berg", "Teo Marnik", "Ines Calmer"])
+        topic = rng.sample(words, 3)
+        said = [f"The {' and the '.join(rng.sample(topic, 2))} {rng.choice(['are open', 'came late', 'were read'])}{rng.choice('..?')}" for _ in range(rng.randint(1, 3))]
+        at += rng.randint(3, 20)
+        mark = f"{at // 60:02d}:{at % 60:02d}"
+        head = {"bracket": f"[{mark}] {who}: ", "paren": f"{who} ({mark}): ", "arrows": f">> {who}: ", "block": f"{who}\n{mark}\n", "plain": f"{who}: "}[style]
+        out.append(head + "\n".join(said))
+    return "\n".join(out)
+
+
+def starts(division):
+    return {i for i, _, turn in division if turn}
+
+
+def test_model_finds_turns_that_marks_do_not_show():
+    """Times, marks and the looks of labels are hidden on part of the lines of held-out transcripts."""
+    model = T.train([generated(i) for i in range(120)])
+    rng, scores = random.Random(5), {"rule": [], "model": []}
+    for i in range(1000, 1080):
+        lines = T.parse(generated(i))
+        gold, seen = starts(T.weak_labels(lines)), T.hidden(lines, rng)
+        for name, got in (("rule", starts(T.weak_labels(seen))), ("model", starts(T.segment(seen, model)))):
+            scores[name].append(2 * len(got & gold) / (len(got) + len(gold)))
+    rule, learned = (sum(x) / len(x) for x in scores.values())
+    assert learned > 0.97 and learned > rule + 0.04
+
+
+def test_likelihood_has_the_right_gradient():
+    rng = random.Random(2)
+    data = [(T.hidden(lines, rng), T.weak_labels(lines)) for lines in (T.parse(generated(i)) for i in range(6))]
+    parts, w = T._padded(data), T.Model().flat() * 0.3
+    _, gradient = T._likelihood(w, *parts)
+    for i in range(len(w)):
+        e = np.zeros(len(w))
+        e[i] = 1e-5
+        assert (T._likelihood(w + e, *parts)[0] - T._likelihood(w - e, *parts)[0]) / 2e-5 == pytest.approx(gradient[i], abs=1e-3)
+
+
+def test_best_division_beats_all_others():
+    """Against all divisions of few lines, scored one by one."""
+    model = T.Model()
+    lines = T.hidden(T.parse(generated(4))[:6], random.Random(1))
+    begin, on, out = (f @ np.array(w) for f, w in zip(T.features(lines), (model.start, model.inside, model.rest)))
+
+    def divisions(i):
+        if i == len(lines):
+            yield []
+        for rest in divisions(i + 1) if i < len(lines) else ():
+            yield [(i, i + 1, False), *rest]
+        for j in range(i + 1, len(lines) + 1):
+            for rest in divisions(j):
+                yield [(i, j, True), *rest]
+
+    def score(d):
+        return sum(begin[i] + sum(on[q] + model.length[min(q - i, 3) - 1] for q in range(i + 1, j)) if turn else out[i] for i, j, turn in d)
+
+    assert score(T.segment(lines, model)) == pytest.approx(max(map(score, divisions(0))))
+
+
+def test_recurring_plain_labels_and_labels_that_are_none():
+    text = "Anna Berg: The plan.\nthe tall visitor in grey: The ledger.\nAnna Berg: Bring these,\nSecond: the ledger,\nand the roster.\nthe tall visitor in grey: Yes."
+    got = T.turns(text)
+    assert [t[1] for t in got][:2] == ["anna berg", "the tall visitor in grey"] and [t[1] for t in got][-1] == "the tall visitor in grey"
+
+
 def test_long_text_is_read_whole():
     text = "\n".join(f"[{i // 60:02d}:{i % 60:02d}] Speaker {i % 2 + 1}: item number {i}" for i in range(2000))
     assert len(T.turns(text)) == 2000
