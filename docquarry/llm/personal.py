@@ -29,6 +29,11 @@ GIVEN = (
 _STREET_EN = "Road|Street|Lane|Way|Court|Close|Row|Avenue|Drive|Place|Square|Terrace|Crescent|Hill|Gardens|Mews|Walk|Boulevard|Rd|St|Ave|Ln"
 _STREET_FR = "rue|avenue|bd|boulevard|chemin|impasse|allée|place|quai|route|cours|square|passage|sentier|ruelle|av"
 _STREET_ES = "Calle|C/|Avenida|Avda|Av|Plaza|Paseo|Camino|Ronda|Travesía|Carretera|Callejón|Pza|Plza"
+_STREET_IT = "Via|Viale|Piazza|Piazzale|Corso|Vicolo|Largo|Rua|Praça"
+#: The hundred most usual Chinese family names.
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+#: Words that stand before the name of a person who is called, signs or is written to.
+ASKED = "ask|ask for|contact|signed|regards|sincerely|attn|written by|author|name|says|from|to|demander|cordialement|grüßen|saludo|saludos|preguntar por|kontakt|ansprechpartner|ansprechpartnerin|contacto|contatto|saluti|signé|firmado|firma|bei|chez"
 ANNOUNCE_ID = r"SSN|social security(?: number)?|national insurance(?: number)?|NI (?:no|number)|NINO|passport|pass no|tax(?: id| number)|ID card|identity card|Steuer-?I|Steuernummer|Ausweis|Personalausweis|Reisepass|Sozialvers|sécurité sociale|NIR|passeport|carte d.identité|DNI|NIE|NIF|pasaporte|seguridad social|身份证|护照|社保"
 RULED_OUT = r"(?:serial|order no\.?|order|invoice|ticket|isbn|batch|rechnung|lot|total|checksum|offset|size|extension|version|memo|code|\bNr\.|pedido|commande|factura|facture)\s*[:#]?\s*$"
 CALLING = r"call|ring|phone|tel|tél|fax|mobile|rückruf|rappel|appel|llam|contact|kontakt|keys|clés|llaves|schlüssel|电话|拨打|手机|phone="
@@ -72,14 +77,16 @@ _ADDRESSES = [
     rf"(?:[A-ZÄÖÜ][^\W\d_]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|graben|steig|markt|hof)|(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den|Alte[r]?|Neue[r]?)\s[A-ZÄÖÜ][^\W\d_]+)\s+\d{{1,4}}(?:\s?[a-h]\b)?(?:,\s+(?:\d{{5}}\s+)?{_TOWN1})?",
     rf"(?:{_STREET_ES})\.?(?<!\w)?\s(?:(?:de|del|de la|de los|de las)\s)?[^,;:.\d\n]{{2,30}}?,?\s+(?:n\.?[ºo°]\s?)?\d{{1,4}}(?:,\s+\d{{1,2}}\.?[ºª°]\.?\s?[A-Za-z]{{0,3}}\b)?(?:,\s+\d{{5}}\s+{_TOWN1})?",
     r"(?:[一-鿿]{1,6}?(?:省|市|区|县|镇))*[一-鿿]{1,6}?(?:街|路|巷|大道|弄|胡同)\s?\d{1,5}\s?号(?:\s?\d{1,4}\s?(?:单元|室|楼|栋|号楼|层))*",
+    rf"(?:{_STREET_IT})\s(?:(?:di|del|della|dei|da|do|dos|das|de)\s)?[A-ZÀ-Þ][\w’'-]*(?:\s(?:(?:di|del|della|dei|da|do|de)\s)?[A-ZÀ-Þ][\w’'-]+){{0,3}},?\s(?:n\.\s?)?\d{{1,4}}(?:,?\s+\d{{4,5}}(?:-\d{{3}})?\s+{_TOWN1})?",
 ]
-_ADDRESS = [re.compile(rf"(?<!\w){p}" if i < 4 else p) for i, p in enumerate(_ADDRESSES)]
+_ADDRESS = [re.compile(rf"(?<!\w){p}" if i != 4 else p) for i, p in enumerate(_ADDRESSES)]
 _ADDRESS_MAYBE = (
     rf"\b(?:{_STREET_EN})\b",
     rf"\d\s?(?:bis|ter|quater|[a-zA-Z])?,?\s+(?:{_STREET_FR})\b",
     r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|graben|steig|markt|hof|(?:Am|An de[rn]|Im|In der|Zu[mr]|Auf de[mr]|Unter den|Alter?|Neuer?)\s\p{Lu}\p{L}+)\s+\d",
     rf"(?:{_STREET_ES})\.?\s",
     r"(?:街|路|巷|大道|弄|胡同)\s?\d{1,5}\s?号",
+    rf"\b(?:{_STREET_IT})\s",
 )
 _LETTERS = r"[^\W\d_]"
 _G = "|".join(sorted({n for g in GIVEN.split() for n in (g, g.upper())}, key=len, reverse=True))
@@ -91,12 +98,25 @@ _MEETING = re.compile(r"(?i)(?:ask|with|contact:|to:|to|regards,|by|says|an|bei|
 NOT_FAMILY = frozenset("the a an and or der die das und le la les et el los las y il in on at for von with date subject release see no both two what please if there nobody contact invoice call send my dr mr ms herr frau street road was is".split())
 
 
+_CAPITAL = "A-ZÀ-ÞŁŠŽ"
+#: Capitalised words in a row, or two of them parted by a comma: what may be a name whatever its words.
+_SHAPED = re.compile(rf"[{_CAPITAL}][\w'’-]+,?(?: [{_CAPITAL}]\.)* (?:(?:van|von|de|del|della|di|der|den|la|le|bin|al) ){{0,2}}[{_CAPITAL}][\w'’-]+(?: (?:[{_CAPITAL}]\.|[{_CAPITAL}][\w'’-]+)){{0,3}}")
+_HAN = "[^\\W\\d_A-Za-z的了是在和与及或国司部门副总各有个这那]"
+_CHINESE = re.compile(rf"(?P<asked>(?:联系人|姓名|作者|签名|经办人|负责人|收件人|寄件人|联系)[:：]?\s?)(?P<a>[{SURNAMES}]{_HAN}{{1,2}})(?![一-鿿])|(?P<b>[{SURNAMES}]{_HAN}{{1,2}})(?=先生|女士|小姐|老师|经理|主任|博士|教授)")
+_PROPER = re.compile(rf"(?:[{_CAPITAL}]{_LETTERS}*[a-zß-öø-ÿ]|[{_CAPITAL}]{{2,}})(?:[-'’]{_LETTERS}+)*$")
+_ASKED = re.compile(rf"(?:^|[^\w])(?:{ASKED}),?:?\s$", re.I)
+_LEADS = frozenset(ASKED.split("|")) | frozenset("mr mrs ms miss dr prof herr frau mme mlle sr sra señor señora monsieur madame".split()) | NOT_FAMILY
+
+
 @dataclass
 class Span:
+    """A candidate of a kind (`shape`: a name by its shape only) with the votes of its labelers, and for names what stands around it."""
+
     kind: str
     start: int
     end: int
     votes: int
+    context: int = 0
 
 
 def _bits(*votes: bool) -> int:
@@ -120,6 +140,56 @@ def _first(patterns: list[re.Pattern], text: str, at: int, stop: int) -> tuple[i
     return min(((m.start(), -m.end()) for p in patterns if (m := p.search(text, at, stop))), default=(-1, 0))
 
 
+#: What votes on a name by its surroundings: a title, a word that asks for a person, a mail address of the words, borders, numbers or addresses near, words never in small letters, words met again, letters alike.
+CONTEXTS = 8
+_CONTACT = re.compile(r"@|\d{3}[ .-]\d{2}|\+\d")
+
+
+def _surroundings(text: str, start: int, end: int, words: list[str]) -> int:
+    before, after = _context(text, start, end, 48)
+    mail = "@" in before or "@" in after
+    near = f"{before}|{after}".lower() if mail else ""
+    last = words[-1]
+    return _bits(
+        bool(_TITLE.search(before)),
+        bool(_ASKED.search(before)),
+        mail and any(len(w) > 3 and re.search(re.escape(w.lower()[:5]) + r"[\w.+-]*@", near) for w in words),
+        _lone(before, after),
+        mail or bool(_CONTACT.search(before) or _CONTACT.search(after)),
+        not any(f" {w.lower()} " in text for w in words),
+        text.count(last) > 1,
+        len({w.isupper() for w in words}) == 1 and all(len(w) > 2 for w in words),
+    )
+
+
+def shaped(text: str) -> list[Span]:
+    """Spans that look like a name and have no word of the gazetteer: two or three proper words in either order, with initials between, or a Chinese family name in a telling place."""
+    out = []
+    for m in _SHAPED.finditer(text):
+        start, end = m.span()
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_@.-") or end < len(text) and (text[end].isalnum() or text[end] in "_@-"):
+            continue
+        tokens = [(start + x.start(), x[0]) for x in re.finditer(r"\S+", m[0])]
+        while tokens and tokens[0][1].lower().rstrip(",") in _LEADS:
+            tokens.pop(0)
+        while tokens and (tokens[-1][1].lower() in NOT_FAMILY or tokens[-1][1].endswith(".")):
+            tokens.pop()
+        words = [w.rstrip(",") for _, w in tokens if len(w) > 2 and w[0].isupper()]
+        if not 2 <= len(words) <= 3 or any(x.lower() in _GIVEN_SET for w in words for x in w.split("-")) or not all(_PROPER.match(w) for w in words):
+            continue
+        if tokens[0][1].endswith(",") and len(words) != 2 or any(w.endswith(",") for _, w in tokens[1:]):
+            continue
+        start, end = tokens[0][0], tokens[-1][0] + len(tokens[-1][1])
+        out.append(Span("shape", start, end, 0, _surroundings(text, start, end, words)))
+        if len(words) == 3 and len(tokens) == 3:  # the first may only begin the sentence
+            start, words = tokens[1][0], words[1:]
+            out.append(Span("shape", start, end, 0, _surroundings(text, start, end, words)))
+    if "\u4e00" <= max(text, default=""):
+        for m in _CHINESE.finditer(text):
+            out.append(Span("shape", *m.span("a" if m["a"] else "b"), 0, _bits(not m["a"], bool(m["a"]), False, False, False, True, text.count(m["a"] or m["b"]) > 1, True)))
+    return out
+
+
 def spans(text: str, may: frozenset) -> list[Span]:
     """Candidate spans of the kinds in `may` (address_0 .. for its countries) with the labelers' votes as bits."""
     out: list[Span] = []
@@ -180,9 +250,9 @@ def spans(text: str, may: frozenset) -> list[Span]:
             cases = given.isupper() == family.split()[-1].isupper()
             meets = bool(_TITLE.search(before) or _MEETING.search(before)) or _lone(before, after) or bool(re.match(r"\s*[(\";,/\t]", after))
             mail = first.lower()[:5] in after.lower() or first.lower()[:5] in before.lower()
-            out.append(Span("name", *m.span(), _bits(good, not newline, cases, len(first) >= 4, meets or mail)))
+            out.append(Span("name", *m.span(), _bits(good, not newline, cases, len(first) >= 4, meets or mail), _surroundings(text, *m.span(), [given.split("-")[0], first])))
             at = m.end() if good else m.start() + max(1, len(given))
-    return out
+    return out + shaped(text) if "shape" in may else out
 
 
 VOTERS = 5
@@ -207,26 +277,51 @@ def expectation(counts: dict[int, int], rounds: int = 60) -> tuple[float, np.nda
     return share, yes, no
 
 
+#: What is assumed of CONTEXTS beside the data, worth ten spans each: rates at names and at other capitalised words.
+_AT_NAMES, _AT_OTHERS = np.array([0.2, 0.3, 0.2, 0.3, 0.3, 0.9, 0.3, 0.9]), np.array([0.01, 0.02, 0.01, 0.4, 0.2, 0.5, 0.4, 0.6])
+
+
+def anchored(known: dict[int, int], counts: dict[int, int], rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
+    """As `expectation` for names that the gazetteer doesn't know: what surrounds names is learned from `known`, those it knows; the rest by EM."""
+
+    def seen(c: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        masks = np.array(sorted(c), np.int64)
+        return (masks[:, None] >> np.arange(CONTEXTS)) & 1, np.array([c[m] for m in masks], float)
+
+    kx, kn = seen(known)
+    yes = (kn @ kx + 10 * _AT_NAMES) / (kn.sum() + 10) if len(kn) else _AT_NAMES
+    yes = np.clip(yes, 0.01, 0.99)
+    x, n = seen(counts)
+    share, no = 0.1, np.minimum(_AT_OTHERS, yes)
+    for _ in range(rounds):
+        p = posterior(x, share, yes, no)
+        v = n * (1 - p)
+        share = ((n * p).sum() + 1) / (n.sum() + 10)
+        no = np.clip((v @ x + 10 * _AT_OTHERS) / (v.sum() + 10), 1e-4, 0.99)
+    return share, yes, no
+
+
 def posterior(x: np.ndarray, share: float, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     a = np.log(share) + (x * np.log(yes) + (1 - x) * np.log(1 - yes)).sum(1)
     b = np.log(1 - share) + (x * np.log(no) + (1 - x) * np.log(1 - no)).sum(1)
     return 1 / (1 + np.exp(np.clip(b - a, -50, 50)))
 
 
-def classifier(counts: dict[int, int], rounds: int = 400) -> dict[int, float]:
-    """A logistic span classifier on votes and pairs of votes, trained on the EM's soft labels; its probability for every pattern."""
-    share, yes, no = expectation(counts)
+def classifier(counts: dict[int, int], rounds: int = 400, rates: tuple | None = None) -> dict[int, float]:
+    """A logistic span classifier on votes and pairs of votes, trained on the EM's soft labels (or by given `rates`); its probability for every pattern."""
+    share, yes, no = rates or expectation(counts)
+    voters = len(yes)
 
     def features(m: np.ndarray) -> np.ndarray:
-        x = (m[:, None] >> np.arange(VOTERS)) & 1
-        pairs = [x[:, i] * x[:, j] for i in range(VOTERS) for j in range(i)]
+        x = (m[:, None] >> np.arange(voters)) & 1
+        pairs = [x[:, i] * x[:, j] for i in range(voters) for j in range(i)]
         return np.column_stack([np.ones(len(m)), x, *pairs]).astype(float)
 
     masks = np.array(sorted(counts), np.int64)
     n = np.array([counts[m] for m in masks], float)
-    target = posterior((masks[:, None] >> np.arange(VOTERS)) & 1, share, yes, no)
-    everything = np.arange(1 << VOTERS)
-    prior = posterior((everything[:, None] >> np.arange(VOTERS)) & 1, share, yes, no)
+    target = posterior((masks[:, None] >> np.arange(voters)) & 1, share, yes, no)
+    everything = np.arange(1 << voters)
+    prior = posterior((everything[:, None] >> np.arange(voters)) & 1, share, yes, no)
     x, w = np.vstack([features(masks), features(everything)]), np.concatenate([n / n.sum(), np.full(len(everything), 0.2 / len(everything))])
     t = np.concatenate([target, prior])
     beta = np.zeros(x.shape[1])
@@ -247,12 +342,13 @@ _MAYBE = {
     "id_number": "|".join(p.replace(" ", r"[ \x{a0}\n]") for p in _IDS),
     "phone": r"\d[\d \x{a0}\n().\-/]{7,22}\d",  # as _NUMBERISH
     **{f"address_{i}": p.replace(r"\s", r"[\s\p{Z}]") for i, p in enumerate(_ADDRESS_MAYBE)},
+    "shape": rf"[{_CAPITAL}][\w'’\x{{df}}-\x{{17f}}-]+,?(?: [{_CAPITAL}]\.)* (?:\p{{Ll}}+ ){{0,2}}[{_CAPITAL}]|联系|姓名|作者|签名|经办人|负责人|收件人|寄件人|先生|女士|小姐|老师|经理|主任|博士|教授",
     "name": r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(sorted({n for g in GIVEN.split() for n in (g, g.upper())})) + r")(?:[^\p{L}\p{N}_]|$)",
 }
 
 
 def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key`, `kind`, `start`, `stop`, `val`, `votes` of every candidate span of every text."""
+    """`key`, `kind`, `start`, `stop`, `val`, `votes`, `context` of every candidate span of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,32 +359,62 @@ def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
             for i in some:
                 t = texts[i].as_py()
                 for s in spans(t, frozenset(k for k, h in hits.items() if h[i])):
-                    rows.append((i, s.kind, s.start, s.end, re.sub(r"\s+", " ", t[s.start : s.end]), s.votes))
+                    rows.append((i, s.kind, s.start, s.end, re.sub(r"\s+", " ", t[s.start : s.end]), s.votes, s.context))
             if rows:
-                at, kind, start, stop, val, votes = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(kind), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(val), pa.array(votes, pa.int32())], names=["key", "kind", "start", "stop", "val", "votes"])
+                at, kind, start, stop, val, votes, context = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(kind), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(val), pa.array(votes, pa.int32()), pa.array(context, pa.int32())], names=["key", "kind", "start", "stop", "val", "votes", "context"])
 
-    schema = f"key {df.schema[key].dataType.simpleString()}, kind string, start int, stop int, val string, votes int"
+    schema = f"key {df.schema[key].dataType.simpleString()}, kind string, start int, stop int, val string, votes int, context int"
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
+#: Family names with which a given name must be accepted, and the part of its places, to be learned.
+FAMILIES, ACCEPTED = 3, 0.5
+
+
+def _by_shape(rows: DataFrame, known: dict[int, int], counts: dict[int, int], least: float) -> DataFrame:
+    """The names among candidates by shape: by their surroundings, or by a given name that others taught."""
+    chance = classifier(counts, rates=anchored(known, counts))
+    good = [m for m, p in chance.items() if p >= least]
+    comma = F.contains("val", F.lit(", "))
+    parts = F.split("val", ",? ")
+    given = F.when(comma, parts[1]).otherwise(parts[0])
+    told = rows.withColumn("given", given).withColumn("family", F.when(comma, parts[0]).otherwise(F.element_at(parts, -1))).withColumn("good", F.col("context").isin(good))
+    taught = told.groupBy("given").agg(F.count_distinct(F.when(F.col("good"), F.col("family"))).alias("families"), F.count_if("good").alias("yes"), F.count(F.lit(1)).alias("all"))
+    taught = taught.where((F.col("families") >= FAMILIES) & (F.col("yes") >= ACCEPTED * F.col("all"))).select("given", F.lit(True).alias("taught"))
+    proper = F.col("context").bitwiseAND(1 << 5 | 1 << 7) == (1 << 5 | 1 << 7)
+    both = told.join(taught, "given", "left").where(F.col("good") | (F.col("taught") & proper))
+    return both.select("key", F.lit("name").alias("kind"), "start", "stop", "val")
+
+
 def found(df: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
     """`key`, `kind`, `start`, `stop`, `val` of the personal information in each text.
 
     Labelers vote on candidate spans; how often each pattern of votes occurs (at most
-    2**VOTERS counts per kind) goes to the driver, where EM estimates the labelers'
-    reliabilities and a classifier is trained on its soft labels.  Of overlapping spans the
-    first kind in KINDS stays, then the longer one.  Null and empty texts have none,
-    repeated rows give repeated spans, an empty table gives none.
+    2**VOTERS counts per kind and 2**CONTEXTS for names) goes to the driver, where EM
+    estimates the labelers' reliabilities and a classifier is trained on its soft labels.
+    Names that the gazetteer doesn't know are candidates by their shape and are judged by
+    their surroundings; given names accepted so with three family names or more are
+    learned, and then hold in other places, too.  Of overlapping spans the first kind in
+    KINDS stays, then the longer one.  Null and empty texts have none, repeated rows give
+    repeated spans, an empty table gives none.
     """
     spotted = checkpointed(candidates(df, key, text))
     counts: dict[str, dict[int, int]] = {}
-    for r in spotted.groupBy("kind", "votes").count().collect():
-        counts.setdefault(r["kind"], {})[r["votes"]] = r["count"]
+    around: dict[str, dict[int, int]] = {"name": {}, "shape": {}}
+    for r in spotted.groupBy("kind", "votes", "context").count().collect():
+        if r["kind"] in around and (r["kind"] == "shape" or r["votes"] & 1):
+            c = around[r["kind"]]
+            c[r["context"]] = c.get(r["context"], 0) + r["count"]
+        if r["kind"] != "shape":
+            c = counts.setdefault(r["kind"], {})
+            c[r["votes"]] = c.get(r["votes"], 0) + r["count"]
     chances = {k: classifier(c) for k, c in counts.items()}
     good = [f"{k}:{m}" for k, c in chances.items() for m, p in c.items() if p >= least]
     order = {k: i for i, k in enumerate(KINDS)}
-    kept = spotted.where(F.concat_ws(":", "kind", F.col("votes").cast("string")).isin(good or [""]))
+    kept = spotted.where(F.concat_ws(":", "kind", F.col("votes").cast("string")).isin(good or [""])).select("key", "kind", "start", "stop", "val")
+    if around["shape"]:
+        kept = kept.unionByName(_by_shape(spotted.where("kind = 'shape'"), around["name"], around["shape"], least))
 
     @F.pandas_udf("array<boolean>")
     def clear(kinds: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
