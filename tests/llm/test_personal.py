@@ -69,6 +69,7 @@ def test_names_beyond_the_gazetteer(spark):
 def test_given_names_are_learned_from_the_table(spark):
     """A given name seen with three family names in telling places holds in a place that tells nothing."""
     texts = [f"Dr Siobhan {x} came." for x in ("Murphy", "Kelly", "Byrne", "Doyle")] * 3 + ["Later Siobhan Walsh went home."] + ["Later Cedar Walk was closed."] + [f"Dr Anna {x} came." for x in ("Berg", "Tal")] * 3
+    texts += [f"Now the {a} {b} was closed." for a in ("Garden", "Museum", "Harbour", "Budget") for b in ("Plan", "Report", "Calendar", "Survey")] * 3
     got = {r["val"] for r in P.found(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()}
     assert "Siobhan Walsh" in got and "Cedar Walk" not in got
 
