@@ -33,7 +33,7 @@ _STREET_IT = "Via|Viale|Piazza|Piazzale|Corso|Vicolo|Largo|Rua|Praça"
 #: The hundred most usual Chinese family names.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
 #: Words that stand before the name of a person who is called, signs or is written to.
-ASKED = "ask|ask for|contact|signed|regards|sincerely|attn|written by|author|name|says|from|to|demander|cordialement|grüßen|saludo|saludos|preguntar por|kontakt|ansprechpartner|ansprechpartnerin|contacto|contatto|saluti|signé|firmado|firma|bei|chez"
+ASKED = "ask|ask for|contact|signed|regards|sincerely|attn|written by|author|name|says|demander|cordialement|grüßen|saludo|saludos|preguntar por|kontakt|ansprechpartner|ansprechpartnerin|contacto|contatto|saluti|signé|firmado|firma"
 ANNOUNCE_ID = r"SSN|social security(?: number)?|national insurance(?: number)?|NI (?:no|number)|NINO|passport|pass no|tax(?: id| number)|ID card|identity card|Steuer-?I|Steuernummer|Ausweis|Personalausweis|Reisepass|Sozialvers|sécurité sociale|NIR|passeport|carte d.identité|DNI|NIE|NIF|pasaporte|seguridad social|身份证|护照|社保"
 RULED_OUT = r"(?:serial|order no\.?|order|invoice|ticket|isbn|batch|rechnung|lot|total|checksum|offset|size|extension|version|memo|code|\bNr\.|pedido|commande|factura|facture)\s*[:#]?\s*$"
 CALLING = r"call|ring|phone|tel|tél|fax|mobile|rückruf|rappel|appel|llam|contact|kontakt|keys|clés|llaves|schlüssel|电话|拨打|手机|phone="
@@ -104,7 +104,7 @@ _SHAPED = re.compile(rf"[{_CAPITAL}][\w'’-]+,?(?: [{_CAPITAL}]\.)* (?:(?:van|v
 _HAN = "[^\\W\\d_A-Za-z的了是在和与及或国司部门副总各有个这那]"
 _CHINESE = re.compile(rf"(?P<asked>(?:联系人|姓名|作者|签名|经办人|负责人|收件人|寄件人|联系)[:：]?\s?)(?P<a>[{SURNAMES}]{_HAN}{{1,2}})(?![一-鿿])|(?P<b>[{SURNAMES}]{_HAN}{{1,2}})(?=先生|女士|小姐|老师|经理|主任|博士|教授)")
 _PROPER = re.compile(rf"(?:[{_CAPITAL}]{_LETTERS}*[a-zß-öø-ÿ]|[{_CAPITAL}]{{2,}})(?:[-'’]{_LETTERS}+)*$")
-_ASKED = re.compile(rf"(?:^|[^\w])(?:{ASKED}),?:?\s$", re.I)
+_ASKED = re.compile(rf"(?:^|[^\w])(?:(?:{ASKED}),?:?|(?:from|to|von|an|de|à|para) ?:)\s$", re.I)
 _LEADS = frozenset(ASKED.split("|")) | frozenset("mr mrs ms miss dr prof herr frau mme mlle sr sra señor señora monsieur madame".split()) | NOT_FAMILY
 
 
@@ -279,6 +279,8 @@ def expectation(counts: dict[int, int], rounds: int = 60) -> tuple[float, np.nda
 
 #: What is assumed of CONTEXTS beside the data, worth ten spans each: rates at names and at other capitalised words.
 _AT_NAMES, _AT_OTHERS = np.array([0.2, 0.3, 0.2, 0.3, 0.3, 0.9, 0.3, 0.9]), np.array([0.01, 0.02, 0.01, 0.4, 0.2, 0.5, 0.4, 0.6])
+#: The first of CONTEXTS tell names: they are so many times as frequent there as elsewhere, at least.
+TELLING, TIMES = 3, 50
 
 
 def anchored(known: dict[int, int], counts: dict[int, int], rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
@@ -298,6 +300,7 @@ def anchored(known: dict[int, int], counts: dict[int, int], rounds: int = 60) ->
         v = n * (1 - p)
         share = ((n * p).sum() + 1) / (n.sum() + 10)
         no = np.clip((v @ x + 10 * _AT_OTHERS) / (v.sum() + 10), 1e-4, 0.99)
+        no[:TELLING] = np.minimum(no, yes / TIMES)[:TELLING]
     return share, yes, no
 
 
