@@ -11,50 +11,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, salted_join
 from ..session import checkpointed
 from .text import lists, mix, shingle_codes, word_codes, words
 
 
 @dataclass(frozen=True)
 class Banding:
-    """`collections` keys on each of `sides` sides, of `rows` MinHash values each.
+    """Tensored banding: `groups` times two sides of `collections` half keys, of `rows` MinHash values each.
 
-    With two sides a table key joins half key i of the left with half key j of the right
-    side, so collections**2 tables come from 2 * collections * rows hash functions.  With
-    one side each key is a table.  Two texts of similarity s meet in some table with
-    chance (1 - (1 - s**rows)**collections)**sides.
+    Within a group a table key joins half key i of the left with half key j of the right
+    side, so collections**2 tables of 2 * rows values come from 2 * collections half keys.
+    Two texts of similarity s meet in some table of a group with chance
+    (1 - (1 - s**rows)**collections)**2, and groups are independent.
     """
 
-    collections: int = 9
-    rows: int = 3
+    collections: int = 3
+    rows: int = 2
+    groups: int = 10
     seed: int = 20240229
-    sides: int = 2
+
+    @property
+    def tables(self) -> int:
+        return self.groups * self.collections**2
+
+    @property
+    def hashes(self) -> int:
+        return self.groups * 2 * self.collections * self.rows
 
     def chance(self, s: float) -> float:
         """The chance that two texts of similarity `s` meet in some table."""
-        return (1 - (1 - s**self.rows) ** self.collections) ** self.sides
+        return 1 - (1 - (1 - (1 - s**self.rows) ** self.collections) ** 2) ** self.groups
 
 
-#: The lowest chance with which a pair at the threshold must meet, and the hash functions spent on longer keys for it.
-CHANCE, HASHES = 0.9995, 240
+#: The lowest chance with which a pair at the threshold must meet, and the most tables spent on longer keys for it.
+CHANCE, TABLES = 0.9995, 100
 
 
 def banding_for(threshold: float, chance: float = CHANCE) -> Banding:
-    """The one-sided banding of the longest keys (fewest candidates) within HASHES that reaches `chance` at `threshold`.
+    """The tensored banding of the longest keys (fewest candidates) within TABLES tables that reaches `chance` at `threshold`.
 
-    Keys of one row are taken whatever they need, so the chance is always reached.  One
-    side needs far fewer tables than two for such chances: 55 of 4 rows at 0.6 meet with
-    chance 0.9995, where two sides of 3 rows need 1 225 tables.
+    Of equal key lengths that of the fewest hash functions and tables together is taken;
+    keys of one row a side are taken whatever they need, so the chance is always reached.
+    At 0.6 ten groups of 3 by 3 half keys give 90 tables of 4 values from 120 hash
+    functions, where independent tables would need 360.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"no banding for the threshold {threshold}")
-    best, rows = None, 1
-    while True:
-        miss = 1 - threshold**rows
-        count = max(1, ceil(log(1 - chance) / log(miss))) if miss > 0 else 1
-        if best and (count * rows > HASHES or rows > 16):
+    best: Banding | None = None
+    for rows in range(1, 9):
+        choices = []
+        for m in range(1, 7):
+            meet = (1 - (1 - threshold**rows) ** m) ** 2
+            groups = max(1, ceil(log(1 - chance) / log(1 - meet))) if meet < 1 else 1
+            choices.append(Banding(m, rows, groups))
+        fit = min(choices, key=lambda c: c.hashes + c.tables)
+        if best and fit.tables > TABLES:
             return best
-        best, rows = Banding(count, rows, sides=1), rows + 1
+        best = fit
+    return best
 
 
 #: Shingles that are hashed at a time.
@@ -63,7 +78,7 @@ HASHED = 1 << 15
 
 def signatures(shingles: np.ndarray, offsets: np.ndarray, banding: Banding) -> np.ndarray:
     """MinHash values, one row per text (of at least one shingle) and one column per hash function."""
-    count = banding.sides * banding.collections * banding.rows
+    count = banding.hashes
     salts = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(banding.seed))
     out = np.empty((len(offsets) - 1, count), np.uint32)
     base = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
@@ -86,17 +101,16 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray, banding: Banding) -> n
 
 
 def table_keys(signature: np.ndarray, banding: Banding) -> np.ndarray:
-    """The table keys of each text: collections**sides."""
-    m, rows = banding.collections, banding.rows
-    halves = np.zeros((len(signature), banding.sides * m), np.uint64)
-    for i in range(banding.sides * m):
-        for r in range(rows):
-            halves[:, i] = mix(halves[:, i] * np.uint64(0x9E3779B97F4A7C15) + signature[:, i * rows + r])
-    if banding.sides == 1:
-        return mix(halves * np.uint64(3) + np.arange(m, dtype=np.uint64))
-    left, right = halves[:, :m, None], halves[:, None, m:]
-    table = np.arange(m * m, dtype=np.uint64).reshape(1, m, m)
-    return mix(left * np.uint64(3) + right * np.uint64(0x9E3779B97F4A7C15) + table).reshape(len(signature), m * m)
+    """The table keys of each text, group by group."""
+    m, rows, n = banding.collections, banding.rows, len(signature)
+    halves = np.zeros((n, banding.groups * 2 * m), np.uint64)
+    by_half = signature.reshape(n, -1, rows)
+    for r in range(rows):
+        halves = mix(halves * np.uint64(0x9E3779B97F4A7C15) + by_half[:, :, r])
+    sides = halves.reshape(n, banding.groups, 2, m)
+    left, right = sides[:, :, 0, :, None], sides[:, :, 1, None, :]
+    table = np.arange(banding.tables, dtype=np.uint64).reshape(1, banding.groups, m, m)
+    return mix(left * np.uint64(3) + right * np.uint64(0x9E3779B97F4A7C15) + table).reshape(n, banding.tables)
 
 
 def _sets(column: pa.Array, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,8 +198,9 @@ def set_of(df: DataFrame, text: str, n: int, min_words: int) -> DataFrame:
     return df.select(text).mapInArrow(run, "same bigint, grams array<int>")
 
 
-def bucketed(df: DataFrame, text: str, n: int, min_words: int, banding: Banding) -> DataFrame:
-    """`bucket` and `same`: the table keys of each class, once per task."""
+def bucketed(df: DataFrame, text: str, n: int, min_words: int, banding: Banding, hot: frozenset = frozenset()) -> DataFrame:
+    """`bucket`, `same` and `salt`: the table keys of each class, once per task; rows of `hot` buckets are spread over salts from 1 on."""
+    known = np.array(sorted(hot), np.int64)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -195,9 +210,26 @@ def bucketed(df: DataFrame, text: str, n: int, min_words: int, banding: Banding)
             if not len(rows):
                 continue
             keys = table_keys(signatures(grams, ends, banding)[rows], banding)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(same[rows], keys.shape[1]))], names=["bucket", "same"])
+            buckets, owner = keys.reshape(-1).view(np.int64), np.repeat(same[rows], keys.shape[1])
+            salt = np.where(np.isin(buckets, known), 1 + (owner % SALTS), 0) if len(known) else np.zeros(len(buckets), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(owner), pa.array(salt.astype(np.int32))], names=["bucket", "same", "salt"])
+
+    return df.select(text).mapInArrow(run, "bucket bigint, same bigint, salt int")
+
 
-    return df.select(text).mapInArrow(run, "bucket bigint, same bigint")
+#: Into how many parts a hot bucket is spread, the rows that are looked at to find such buckets, and the part of them that makes one hot.
+SALTS, LOOKED_AT, HOT = 64, 4096, 1 / 64
+
+
+def hot_buckets(df: DataFrame, key: str, text: str, n: int, min_words: int, banding: Banding) -> frozenset:
+    """Buckets that hold much of a few thousand rows; at most tables / HOT of them, whatever the table.
+
+    This only plans how work is spread: rows of any bucket are all paired, hot or not.
+    """
+    every = df.count() // LOOKED_AT + 1
+    some = df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0).select(text)
+    counts = bucketed(some, text, n, min_words, banding).distinct().groupBy("bucket").count().where(F.col("count") >= LOOKED_AT * HOT)
+    return frozenset(r[0] for r in counts.select("bucket").collect())
 
 
 #: A bucket with more classes than this is split into blocks that are paired in tasks of their own.
@@ -207,26 +239,25 @@ BLOCK = 1000
 def _meet(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (`a`, `b`) of classes within each bucket of rows sorted by bucket and class.
 
-    A bucket of more than BLOCK classes is passed on instead: its classes in `a`, its
-    number in `bucket` and its size in `size`, with no `b`.
+    Classes of a bucket that is salted or has more than BLOCK of them are passed on
+    instead, as they come: the class in `a`, its bucket in `bucket`, with no `b`.  So no
+    more than BLOCK classes of a bucket are ever held.
     """
 
-    def out(a: np.ndarray, b: np.ndarray | None, bucket: int = 0, size: int = 0) -> pa.RecordBatch:
-        n = len(a)
-        rest = [pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())] if b is not None else [pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket)), pa.array(np.full(n, size))]
-        return pa.RecordBatch.from_arrays([pa.array(a), *rest], names=["a", "b", "bucket", "size"])
+    def out(a: np.ndarray, b: np.ndarray | None, bucket: np.ndarray | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if bucket is None else pa.array(bucket)], names=["a", "b", "bucket"])
 
     def pairs(k: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(k) < 2:
             return
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
         k, s = k[new], s[new]
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        sizes = np.diff(np.append(starts, len(k)))
-        for at, n in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK]):
-            yield out(s[at : at + n], None, int(k[at]), int(n))
-        small = np.repeat(sizes <= BLOCK, sizes)
-        k, s = k[small], s[small]
+        sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)))
+        large = np.repeat(sizes > BLOCK, sizes)
+        if large.any():
+            yield out(s[large], None, k[large])
+        k, s = k[~large], s[~large]
         d = 1
         while d < len(k):
             same = np.flatnonzero(k[d:] == k[:-d])
@@ -235,9 +266,19 @@ def _meet(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(s[same], s[same + d])
             d += 1
 
-    rest_k, rest_s = [], []
+    rest_k, rest_s, passing = [], [], None
     for b in batches_:
-        k, s = np.asarray(b.column(0)), np.asarray(b.column(1))
+        k, s, salt = (np.asarray(b.column(i)) for i in range(3))
+        if (salt > 0).any():
+            yield out(s[salt > 0], None, k[salt > 0])
+            k, s = k[salt == 0], s[salt == 0]
+        if passing is not None and len(k):  # the bucket is large: its classes go on at once
+            more = int(np.searchsorted(k != passing, True))
+            if more:
+                yield out(s[:more], None, k[:more])
+                k, s = k[more:], s[more:]
+            if len(k):
+                passing = None
         if not len(k):
             continue
         cut = int(np.searchsorted(k, k[-1]))
@@ -246,14 +287,17 @@ def _meet(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest_k, rest_s = [], []
         rest_k.append(k[cut:])
         rest_s.append(s[cut:])
+        if sum(map(len, rest_k)) > 4 * BLOCK:
+            yield out(np.concatenate(rest_s), None, np.concatenate(rest_k))
+            passing, rest_k, rest_s = rest_k[-1][-1], [], []
     if rest_k:
         yield from pairs(np.concatenate(rest_k), np.concatenate(rest_s))
 
 
 def block_pairs(large: DataFrame) -> DataFrame:
-    """All pairs (`a` < `b`) within each `bucket` of `size` classes `a`, in blocks of about BLOCK by BLOCK."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = large.select("bucket", "a", n.alias("n")).withColumn("g", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
+    """All pairs (`a` < `b`) within each `bucket` of classes `a`, in blocks of about BLOCK by BLOCK; sizes are counted before the shuffle."""
+    sizes = large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    placed = salted_join(large.select("bucket", "a"), sizes, "bucket", "inner").withColumn("g", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
     left = placed.select("bucket", F.col("g").alias("i"), F.explode(F.sequence(F.col("g"), F.col("n") - 1)).alias("j"), F.col("a").alias("x"))
     right = placed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i"), F.col("g").alias("j"), F.col("a").alias("y"))
     met = left.join(right, ["bucket", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
@@ -271,15 +315,16 @@ def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: flo
     all tables without a cap; the pairs of a large bucket are made in blocks by many tasks.
     The banding is that of `threshold` unless one is given: a pair right at the threshold
     meets in some table with chance 0.9995 or more by `Banding.chance`, a more similar one
-    with a higher chance (0.6: 0.99952, 0.65: 0.99998, 0.7: 0.9999997).  Shingle sets are built anew where they are needed
+    with a higher chance.  Shingle sets are built anew where they are needed
     (a few CPU seconds) instead of being stored (more disk than the texts themselves).
     """
     banding = banding or banding_for(threshold)
     known = checkpointed(class_of(df, key, text, n, min_words).distinct())
     members = known.select(key, "same")
-    keyed = bucketed(df, text, n, min_words, banding).repartition("bucket").sortWithinPartitions("bucket", "same")
-    met = checkpointed(keyed.mapInArrow(_meet, "a bigint, b bigint, bucket bigint, size bigint").distinct())
-    pairs, large = met.where("b is not null").select("a", "b"), met.where("b is null")
+    hot = hot_buckets(df, key, text, n, min_words, banding)
+    keyed = bucketed(df, text, n, min_words, banding, hot).repartition("bucket", "salt").sortWithinPartitions("bucket", "same")
+    met = checkpointed(keyed.mapInArrow(_meet, "a bigint, b bigint, bucket bigint").distinct())
+    pairs, large = met.where("b is not null").select("a", "b"), met.where("b is null").select("bucket", "a")
     if not large.isEmpty():
         pairs = checkpointed(pairs.unionByName(block_pairs(large)).distinct())
     pairs = checkpointed(possible(pairs, known, threshold))
@@ -297,6 +342,8 @@ def similar_pairs(df: DataFrame, key: str, text: str, n: int = 5, threshold: flo
 def classes(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """`key`, `group_id` (the smallest class of its connected component) and `n_links` of its class.
 
+    A class with a third of all links, and the label of a component with a third of all
+    classes, are spread over many tasks.
     Labels spread along links and jump to the label of their label, each round one
     join and a checkpoint, until no label changes: the rounds grow with the logarithm
     of the longest chain.  No component is ever gathered in one task.
@@ -304,11 +351,12 @@ def classes(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("same"), "label")
     labels = checkpointed(labels)
+    hubs = hot_keys(both, "b")
     while True:
-        near = both.join(labels.withColumnRenamed("same", "b"), "b").groupBy(F.col("a").alias("same")).agg(F.min("label").alias("near"))
+        near = salted_join(both, labels.withColumnRenamed("same", "b"), "b", "inner", hubs).groupBy(F.col("a").alias("same")).agg(F.min("label").alias("near"))
         step = labels.join(near, "same", "left").select("same", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = labels.select(F.col("same").alias("low"), F.col("label").alias("far"))
-        step = checkpointed(step.join(jump, "low", "left").select("same", F.col("label").alias("old"), F.least("low", F.coalesce("far", "low")).alias("label")))
+        step = checkpointed(salted_join(step, jump, "low").select("same", F.col("label").alias("old"), F.least("low", F.coalesce("far", "low")).alias("label")))
         labels = step.select("same", "label")
         if step.where("old <> label").isEmpty():
             break

@@ -27,6 +27,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("md5_a"), F.greatest("x", "y").alias("md5_b"))
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Similar pairs of class representatives (`a`, `b`, `jaccard`): with p3_members the whole result without multiplying copies."""
+    return neardup.similar_pairs(contents(spark, d), "md5", "text_content", **NEAR)[0].select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class (texts of one shingle set) of each record of at least 20 words."""
+    return neardup.class_of(contents(spark, d), "md5", "text_content", NEAR["n"], NEAR["min_words"]).select("md5", "same").distinct()
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each record of at least 20 words with its group and the number of its class's links."""
     links, members = neardup.similar_pairs(contents(spark, d), "md5", "text_content", **NEAR)
@@ -108,5 +118,5 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.masked(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks, p10_found, p10_masked)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_links, p3_members, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks, p10_found, p10_masked)}
 ORACLE = {"p5_found": "select distinct md5 from content_index where length(text_content) > 4000"}
