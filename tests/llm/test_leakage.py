@@ -2,7 +2,12 @@ import random
 import re
 import unicodedata
 
+import numpy as np
+import pytest
+
+from docquarry.llm import leakage
 from docquarry.llm.leakage import leaks, tiles
+from docquarry.operators import skew
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(60)] + ["Élan", "straße", "naïve"]
@@ -36,8 +41,8 @@ def test_against_brute_force(spark):
         docs.append((i, " ".join(t)))
     docs.append((None, " ".join(WORDS[:20])))
     d, e = spark.createDataFrame(docs, "doc long, t string"), spark.createDataFrame(items, "item long, x string")
-    for block in (100, 10**6):
-        got = {(r["doc"], r["item"]) for r in leaks(d, "doc", "t", e, "item", "x", 12, block_chars=block).collect()}
+    for bits in (1 << 15, 1 << 22):
+        got = {(r["doc"], r["item"]) for r in leaks(d, "doc", "t", e, "item", "x", 12, bits=bits).collect()}
         assert got == brute(docs, items, 12) and got
 
 
@@ -58,10 +63,51 @@ def test_reordered_passages_count_together(spark):
 
 
 def test_tiles_do_not_overlap():
-    import numpy as np
+    doc, item = np.array([1, 2, 3, 4, 1, 2, 3, 4, 5], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64)
+    assert tiles(doc, item, 2) == [(4, 0, 5)]
+
+
+def plain_tiling(doc, item, least):
+    """Greedy string tiling as written down: all matches of unmarked words, the longest first."""
+    marked_d, marked_i, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(doc)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and a + n not in marked_d and b + n not in marked_i:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        n, a, b = best
+        if n < least:
+            return sorted(out)
+        marked_d |= set(range(a, a + n))
+        marked_i |= set(range(b, b + n))
+        out.append((a, b, n))
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_tiles_against_plain_tiling(letters, monkeypatch):
+    rng = np.random.default_rng(letters)
+    for listed in (0, 100_000):
+        monkeypatch.setattr(leakage, "LISTED", listed)
+        for _ in range(30):
+            doc, item = (rng.integers(0, letters, rng.integers(3, 25)).astype(np.uint64) for _ in range(2))
+            assert sum(t[2] for t in tiles(doc, item, 3)) == sum(t[2] for t in plain_tiling(doc, item, 3))
+
+
+def test_repeated_words_stay_cheap():
+    word = np.ones(3000, np.uint64)
+    assert sum(1 for _ in leakage.runs(leakage._seeds(word, 12), leakage._seeds(word, 12))) < 6000
+    assert tiles(word, word, 12) == [(0, 0, 3000)]
+
 
-    doc = np.array([1, 2, 3, 4, 1, 2, 3, 4, 5])
-    item = np.array([1, 2, 3, 4, 5])
-    seeds = [(i, j) for i in range(8) for j in range(4) if doc[i] == item[j] and doc[i + 1] == item[j + 1]]
-    found = tiles(doc, item, tuple(np.array(x) for x in zip(*seeds)), 2)
-    assert found == [(4, 0, 5)]
+def test_hot_item_in_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (10,))
+    monkeypatch.setattr(skew.salted_join, "__defaults__", ("left", None, 4, 10))
+    passage = " ".join(f"p{i}" for i in range(14))
+    docs = [(i, f"own{i} {passage} tail{i}") for i in range(60)] * 2
+    d, e = spark.createDataFrame(docs, "doc long, t string"), spark.createDataFrame([(7, passage), (7, passage), (8, " ".join(f"q{i}" for i in range(14)))], "item long, x string")
+    got = [(r["doc"], r["item"]) for r in leaks(d, "doc", "t", e, "item", "x").collect()]
+    assert sorted(got) == sorted([(i, 7) for i in range(60)] * 2)
