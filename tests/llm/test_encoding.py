@@ -6,7 +6,7 @@ CLEAN = [
     "Das Büro verzögerte die Prüfliste für den Förderantrag im Anhang", "La réunion précisait le résumé à l’année dernière", "El número de páginas describió la garantía según el índice",
     "发票批次在附录里说明了项目报告第52页。网络图缩短了培训手册，共7条记录。维修单核实了索引快照第9页。", "Der Museumskatalog überging die Änderungshistorie später",
 ]
-TRAPS = ["São Veldo und Łódka", "√2 ≈ 1,41 ±3 °C ½ page", "отчёт и папка", "├── docs └── scans", "NÃO ABRIR português avançado", "Ångström naïve «dossier»", "plain ascii only", ""]
+TRAPS = ["São Veldo und Łódka", "√2 ≈ 1,41 ±3 °C ½ page", "отчёт и папка", "├── docs └── scans", "NÃO ABRIR português avançado", "Ångström naïve «dossier»", "plain ascii only", "", "The sign � (U+FFFD) stands for a lost letter."]
 
 
 def garble(text, true, wrong):
@@ -61,3 +61,31 @@ def test_found_and_restored(spark):
 def test_empty_and_clean_tables(spark):
     df = spark.createDataFrame([("a", "für"), ("b", None)], "id string, t string")
     assert E.garbled(df, "id", "t").where("strong").count() == 0 and E.restored(df.limit(0), "id", "t").count() == 0
+
+
+def test_mappings_that_no_hypothesis_knows(spark):
+    """An unknown transformation (each ü and é read as two signs) is learned by aligning twins and applied to words met nowhere clean."""
+    words = "für über Büro Prüfung Mühle Tür Hügel früh résumé café année réunion général légume médecin école".split()
+    bad = str.maketrans({"ü": "¤¬", "é": "¤±"})
+    rows = [(f"c{i}", f"{w} und {w}") for i in range(8) for w in words] + [(f"b{i}", w.translate(bad)) for i, w in enumerate(words[:-2])]
+    rows += [("name", "Herr Krügerstädl".replace("ä", "a").translate(bad)), ("sign", "Das Zeichen ¤ steht da.")]
+    df = spark.createDataFrame(rows, "id string, t string")
+    fixed = {r["id"]: r["restored"] for r in E.restored(df, "id", "t").collect()}
+    assert fixed == {**{f"b{i}": w for i, w in enumerate(words[:-2])}, "name": "Herr Krügerstadl"}
+
+
+def test_twin_records_teach_a_transformation(spark):
+    """Whole records that differ only in non-ASCII characters are aligned, though each of their words is met once."""
+    text = "Der Bürgerverein prüfte die Förderanträge, und der Käufer schätzte die Gebühren für das Gehöft an der Brücke."
+    rows = [("good", text), ("bad", garble(text, "utf-8", "web")), ("name", garble("Frau Tülänö und Herr Kröwüß", "utf-8", "web"))]
+    df = spark.createDataFrame(rows, "id string, t string")
+    fixed = {r["id"]: r["restored"] for r in E.restored(df, "id", "t").collect()}
+    assert fixed["bad"] == text and "good" not in fixed
+    assert E.record_twins(df.where("id <> 'bad'"), "t").count() == 0
+
+
+def test_rare_words_follow_the_record(spark):
+    rows = [(f"c{i}", "für über Büro Prüfung ö ä ß Größe Käse möglich") for i in range(9)]
+    bad = garble("für über Büro Prüfung und Herr Pöllwärt", "cp1252", "mac_roman")
+    fixed = {r["id"]: r["restored"] for r in E.restored(spark.createDataFrame([*rows, ("b", bad)], "id string, t string"), "id", "t").collect()}
+    assert fixed == {"b": "für über Büro Prüfung und Herr Pöllwärt"}
