@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 _PARAGRAPH = re.compile(r"(?:\r?\n[ \t\x0c]*){2,}|\x0c")
 _SENTENCE = re.compile(r"[.!?…][\"'»”’)\]]*(?=\s)\s+|[。！？][”」』）]*\s*")
 _SPACE = re.compile(r"\s+")
-_WORD = re.compile(r"[^\W_]{3,}")
+# Scripts written without spaces count by pairs of characters, others by words of three letters or more.
+_UNSPACED = "\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f"
+_WORD, _RUN = re.compile(rf"(?:(?![{_UNSPACED}])[^\W_]){{3,}}"), re.compile(rf"[{_UNSPACED}]{{2,}}")
 
 
 @dataclass(frozen=True)
@@ -34,10 +37,15 @@ def _ends(pattern: re.Pattern, text: str) -> list[int]:
     return [m.end() for m in pattern.finditer(text) if 0 < m.end() < len(text)]
 
 
+def _bag(text: str) -> frozenset:
+    low = text.lower()
+    return frozenset(_WORD.findall(low)) | {run[i : i + 2] for run in _RUN.findall(low) for i in range(len(run) - 1)}
+
+
 def _depths(text: str, gaps: list[int], block: int) -> dict[int, float]:
     """How far cohesion between the blocks around each gap falls below the peaks on both sides."""
     bounds = [0, *gaps, len(text)]
-    bags = [frozenset(_WORD.findall(text[a:b].lower())) for a, b in zip(bounds, bounds[1:])]
+    bags = [_bag(text[a:b]) for a, b in zip(bounds, bounds[1:])]
     scores = []
     for i in range(1, len(bags)):
         left, right = frozenset().union(*bags[max(0, i - block) : i]), frozenset().union(*bags[i : i + block])
@@ -72,7 +80,7 @@ def cuts(text: str, how: Cutting = Cutting()) -> list[tuple[int, int]]:
         low = done + max(1, int((high - done) * how.low))
         end = 0
         for kind in (paragraphs, sentences):
-            fit = [g for g in kind if low <= g <= high]
+            fit = kind[bisect_left(kind, low) : bisect_right(kind, high)]
             if fit:
                 end = max(fit, key=lambda g: (round(depth[g], 9), g))
                 break

@@ -230,7 +230,8 @@ def garbled_units(vocab: DataFrame, hypotheses: list[int], table: DataFrame | No
     known = vocab.select(F.col("unit").alias("fixed"), F.col("df").alias("m"))
     joined = back.join(known, "fixed", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     wordy = F.length(F.regexp_replace("unit", r"[^A-Za-z]", "")) >= 2
-    better = F.col("m") > F.col("df")
+    multibyte = F.col("h").isin([i for i, (true, _) in enumerate(HYPOTHESES) if true.startswith("utf-8") or true in ("gbk", "big5")])  # no accident gives a word of the corpus
+    better = (F.col("m") > F.col("df")) | (multibyte & (F.col("m") > 0))
     judged = joined.withColumn("strong", (better & (wordy | (F.length("unit") >= 4))) | sure("unit", "fixed", "h")).where(F.col("strong") | better)
     best = judged.groupBy("unit").agg(F.max_by(F.struct("fixed", "h", "strong"), F.struct("strong", "m", -F.col("h"))).alias("b")).select("unit", "b.fixed", "b.h", "b.strong")
     # a lost character shows damage where it touches a letter; by itself a text may quote it

@@ -43,49 +43,111 @@ def token_count(text: Column | str, path: str = TOKENIZER) -> Column:
     return count(text)
 
 
+def _best_two(sizes: list[int], counts: dict[int, int], room: int) -> tuple[int, int] | None:
+    """The two items (a >= b) of greatest sum within the room."""
+    best = None
+    low, high = 0, len(sizes) - 1
+    while low <= high:
+        a, b = sizes[high], sizes[low]
+        if a + b > room or (low == high and counts[a] < 2):
+            high -= 1
+            continue
+        if best is None or a + b > sum(best) or (a + b == sum(best) and a > best[0]):
+            best = (a, b)
+        low += 1
+    return best
+
+
+def _smallest(sizes: list[int], counts: dict[int, int], n: int, above: int = 0) -> list[int]:
+    """The `n` smallest items greater than `above`."""
+    out: list[int] = []
+    for s in sizes[bisect_left(sizes, above + 1) :]:
+        out += [s] * min(counts[s], n - len(out))
+        if len(out) == n:
+            break
+    return out
+
+
 def reduce_pairs(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Martello-Toth dominance on a size histogram: bins that some best solution contains.
 
-    Takes from `counts` and returns (content, times).  A bin {a, b} filled exactly
-    dominates every bin with a: whatever else shares a bin with a fits into b's place.
-    A size whose room admits at most one more item goes with the largest that fits,
-    and alone if none does.
+    Takes from `counts` and returns (content, times).  From the largest size on: a bin
+    filled exactly by two items dominates every bin with the first; a size whose room
+    admits at most one more item goes with the largest that fits, and alone if none does.
+    Where at most two more fit: the largest alone, if it is as large as any fitting two;
+    or the best two, if the larger of them is the largest that fits at all and no two
+    items greater than the smaller of them fit together.  It ends at the first size whose
+    room admits three of the smallest items, as it does for all smaller sizes then.
     """
     fixed = []
 
-    def fix(content: dict[int, int], times: int) -> None:
-        for s, n in content.items():
+    def fix(content: list[int]) -> None:
+        each = {s: content.count(s) for s in content}
+        times = min(counts[s] // n for s, n in each.items())
+        for s, n in each.items():
             counts[s] -= n * times
             if not counts[s]:
                 del counts[s]
-        fixed.append((content, times))
+        fixed.append((each, times))
 
     for s in sorted(counts, reverse=True):
         if s not in counts:
             continue
         if s == capacity:
-            fix({s: 1}, counts[s])
+            fix([s])
         elif 2 * s == capacity:
             if counts[s] > 1:
-                fix({s: 2}, counts[s] // 2)
+                fix([s, s])
         elif 2 * s > capacity and capacity - s in counts:
-            fix({s: 1, capacity - s: 1}, min(counts[s], counts[capacity - s]))
-    while counts:
-        sizes = sorted(counts)
-        big, room = sizes[-1], capacity - sizes[-1]
-        if sizes[0] > room:
-            fix({big: 1}, counts[big])
-            continue
-        two = 2 * sizes[0] if counts[sizes[0]] > 1 else sizes[0] + (sizes[1] if len(sizes) > 1 else capacity)
-        if two <= room or 2 * big <= capacity:
+            fix([s, capacity - s])
+    for big in sorted(counts, reverse=True):
+        room = capacity - big
+        while counts.get(big, 0):
+            counts[big] -= 1  # the others, without this one
+            rest = {s: n for s, n in counts.items() if n}
+            sizes = sorted(rest)
+            counts[big] += 1
+            fit = sizes[: bisect_left(sizes, room + 1)]
+            if not fit:
+                fix([big])
+                continue
+            mate = fit[-1]
+            few = _smallest(fit, rest, 3)
+            if len(few) == 1 or few[0] + few[1] > room:
+                fix([big, mate])
+                continue
+            if len(few) == 3 and sum(few) <= room:
+                return fixed
+            a, b = _best_two(fit, rest, room)
+            if mate >= a + b:
+                fix([big, mate])
+                continue
+            above = _smallest(fit, {**rest, a: rest[a] - 1}, 2, b)
+            if mate == a and (len(above) < 2 or sum(above) > room):
+                fix([big, a, b])
+                continue
             break
-        mate = sizes[bisect_left(sizes, room + 1) - 1]
-        if mate == big:
-            break
-        fix({big: 1, mate: 1}, min(counts[big], counts[mate]))
     return fixed
 
 
+def least_windows(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's second lower bound on the number of windows.
+
+    For a size k, items over capacity - k stand alone, those over half a window need one
+    each, and those from k on that don't fit beside the latter need further ones.
+    """
+    sizes = np.array(sorted(s for s, n in counts.items() if n and 0 < s <= capacity), np.int64)
+    if not len(sizes):
+        return 0
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    best = -(-int((sizes * n).sum()) // capacity)
+    for k in [0, *sizes[sizes * 2 <= capacity].tolist()]:
+        alone, large, small = sizes > capacity - k, (sizes <= capacity - k) & (sizes * 2 > capacity), (sizes * 2 <= capacity) & (sizes >= k)
+        left = int((sizes[small] * n[small]).sum()) - (int(n[large].sum()) * capacity - int((sizes[large] * n[large]).sum()))
+        best = max(best, int(n[alone].sum() + n[large].sum()) + max(0, -(-left // capacity)))
+    return best
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Best-fit decreasing on a size histogram, many equal bins at a time: (content, times)."""
     groups: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)

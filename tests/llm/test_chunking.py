@@ -50,3 +50,20 @@ def test_frame(spark):
     assert {r["id"] for r in got} == {"a"} and len(got) == 2 * len(cuts("word " * 2000))
     assert all(len(r["piece"]) == r["stop"] - r["start"] <= 4000 for r in got)
     assert pieces(df.limit(0), "id", "t").count() == 0
+
+
+def test_chinese_topics_are_parted():
+    """Scripts without spaces have valleys by pairs of characters."""
+    rng = random.Random(4)
+
+    def topic(words, n):
+        return "".join(f"{''.join(rng.choice(words) for _ in range(6))}。" for _ in range(n))
+
+    one, two = topic(["苹果", "香蕉", "樱桃", "葡萄"], 14), topic(["引擎", "车轮", "刹车", "油箱"], 14)
+    assert cuts(one + two, Cutting(limit=len(one) + 120, overlap=20, block=5))[0][1] == len(one)
+
+
+def test_giant_text_in_time_that_grows_with_it():
+    text = "alpha beta gamma. " * 200_000
+    got = cuts(text)
+    assert got[-1][1] == len(text) and all(b - a <= 4000 for a, b in got)

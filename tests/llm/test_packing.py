@@ -93,3 +93,31 @@ def test_a_hot_size(spark):
     df = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 'same text here' else repeat('tok ', cast(id % 50 as int)) end t")
     got = packing.pack(df, "id", "t")
     assert got.groupBy("window_id").sum("n_tokens").agg({"sum(n_tokens)": "max"}).first()[0] <= 2048 and got.count() == 5000
+
+
+@pytest.mark.parametrize("counts,want", [({1100: 1, 500: 1, 448: 1}, {1100: 1, 500: 1, 448: 1}), ({1500: 3, 548: 3}, {1500: 1, 548: 1}), ({1200: 1, 840: 1, 400: 1, 390: 1}, {1200: 1, 840: 1}), ({2000: 2, 100: 1}, {2000: 1})])
+def test_dominating_sets(counts, want):
+    """Exact pairs, one as large as any two, the best two of three, and sizes that stand alone."""
+    fixed = packing.reduce_pairs(dict(counts), 2048)
+    assert want in [content for content, _ in fixed]
+
+
+def test_dominated_sets_are_in_a_best_packing():
+    """Against the optimum by search: fixing the reduced bins never costs a bin."""
+    rng = random.Random(8)
+    three = 0
+    for _ in range(400):
+        items = [rng.choice([rng.randint(4, 20), rng.randint(5, 9)]) for _ in range(rng.randint(4, 8))]
+        left = dict(Counter(items))
+        fixed = packing.reduce_pairs(left, 20)
+        three += any(sum(c.values()) == 3 for c, _ in fixed)
+        rest = [s for s, n in left.items() for _ in range(n)]
+        assert sum(t for _, t in fixed) + (optimum(rest, 20) if rest else 0) == optimum(items, 20)
+        assert packing.least_windows(Counter(items), 20) <= optimum(items, 20)
+    assert three > 20
+
+
+def test_reduction_of_large_histograms_is_fast():
+    rng = random.Random(3)
+    counts = Counter(min(2048, int(rng.lognormvariate(6.5, 0.8)) + 300) for _ in range(200_000))
+    assert check_plan(counts, 2048) >= packing.least_windows(counts, 2048)
