@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,34 +48,61 @@ def routed(events: DataFrame, roots: DataFrame) -> DataFrame:
     return found.join(known, "root_id").withColumn("path", F.substr("path", F.length("__root") + 2)).withColumnRenamed("root_id", "dir_id").drop("__root")
 
 
-def applied(state: DataFrame, events: DataFrame) -> DataFrame:
+def applied(state: DataFrame, events: DataFrame, retry_failed: bool = False) -> DataFrame:
     """The tracked rows after a batch of routed events; of a path's events the last one counts.
 
-    A failed file is left alone by a modification that changes neither time nor size.
+    Nothing happens to a file whose extraction failed before (state 2) unless it is
+    deleted or `retry_failed` is set.
     """
     keys = ["dir_id", "path"]
     rest = [c for c in events.columns if c not in keys]
     last = events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", "action")).alias("e")).select(*keys, "e.*")
+    if not retry_failed:
+        failed = state.where("indexed = 2 and status = 'active'").select(*keys, F.lit(True).alias("failed"))
+        last = last.join(failed, keys, "left").where("action = 'delete' or failed is null").drop("failed")
     up = last.where("action = 'upsert'").select(*keys, F.md5(F.concat_ws("/", *keys)).alias("id"), "mtime", "size", "md5", F.unix_seconds("ts").alias("updated_at"))
     after = snapshot.upsert(state, up)
     gone = last.where("action = 'delete'").select(*keys, F.lit(True).alias("gone"))
     return after.join(gone, keys, "left").withColumn("status", F.when(F.col("gone"), "deleted").otherwise(F.col("status"))).drop("gone")
 
 
-def upkeep(events: DataFrame, roots: Callable[[], DataFrame], store: Store, checkpoint: str, table: str = "files", once: bool = True, every: str = "10 seconds") -> StreamingQuery:
+#: Parts of the stored rows; a micro-batch rewrites only those that its events fall into.
+BUCKETS = 64
+
+
+def bucket_of(dir_id: str = "dir_id", path: str = "path", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(dir_id, path), F.lit(buckets)).cast("int")
+
+
+def upkeep(events: DataFrame, roots: Callable[[], DataFrame], store: Store, checkpoint: str, table: str = "files", once: bool = True, every: str = "10 seconds", buckets: int = BUCKETS) -> StreamingQuery:
     """Keep a stored table of tracked rows current from a stream of (debounced) events.
 
-    Each micro-batch is one version of the store.  A batch that was published already is
-    skipped (its number is stored beside the table), so a restart applies nothing twice.
+    Each micro-batch is one version of the store, in which only the buckets of its events
+    are written anew.  A batch that was published already is skipped (its number is stored
+    beside the table), so a restart applies nothing twice.  The query is returned: its
+    `stop` ends the upkeep, and `roots` is asked anew in each batch.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         done = store.current("batches").agg(F.max("batch")).first()[0]
         if done is not None and done >= number:
             return
-        state = store.current(table)
-        fresh = applied(state, routed(classified(batch), roots()))
-        store.publish(**{table: fresh.select(*state.columns), "batches": batch.sparkSession.createDataFrame([(number,)], "batch long")})
+        fresh = routed(classified(batch), roots()).withColumn("__b", bucket_of(buckets=buckets)).persist()
+        try:
+            whole = not store.bucketed(table)
+            touched = list(range(buckets)) if whole else sorted(r[0] for r in fresh.select("__b").distinct().collect())  # at most `buckets`
+            state = store.read(store.version(), table, None if whole else touched)
+            after = applied(state, fresh.drop("__b")).select(*state.columns).withColumn("__b", bucket_of(buckets=buckets))
+            store.publish_buckets(table, after, "__b", touched, batches=batch.sparkSession.createDataFrame([(number,)], "batch long"))
+        finally:
+            fresh.unpersist()
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def listing_events(before: DataFrame, now: DataFrame, at: str) -> DataFrame:
+    """Change events (`path`, `kind`, `ts`, `mtime`, `size`, `md5`) from two listings of absolute paths: a source where no notifications exist."""
+    changes = snapshot.diff(before.select("path", "mtime", "size", F.lit("active").alias("status"), F.lit(1).alias("indexed")), now, ("path",)).where("change <> 'unchanged'")
+    kind = F.when(F.col("change") == "created", "create").when(F.col("change") == "deleted", "remove").otherwise("modify")
+    return changes.select("path", kind.alias("kind"), F.lit(at).cast("timestamp").alias("ts"), "mtime", "size", F.lit(None).cast("string").alias("md5"))
