@@ -123,10 +123,17 @@ def needing_index(files: DataFrame, k: int) -> DataFrame:
 
 
 def retained(df: DataFrame, when: str, key: str, keep: int, by: str | None = None) -> DataFrame:
-    """All rows with `rank` and whether they are among the newest `keep` (of each `by`)."""
-    spec = Window.partitionBy(by) if by else Window.partitionBy(F.lit(1))
-    ranked = df.withColumn("rank", F.row_number().over(spec.orderBy(F.desc(when), F.asc(key))))
-    return ranked.withColumn("kept", F.col("rank") <= keep)
+    """The newest `keep` rows (of each `by`) with their `rank`; rows are cut to `keep` before any is ranked by one task.
+
+    Null keys and equal times are in order of `key`; an empty table gives none.
+    """
+    order = [F.desc(when), F.asc(key)]
+    if not by:
+        return df.orderBy(*order).limit(keep).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    # ranks within parts first, so a `by` with a third of all rows is spread over many tasks
+    part = F.pmod(F.xxhash64(key), F.lit(64))
+    first = df.withColumn("__part", part).withColumn("__r", F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order))).where(F.col("__r") <= keep)
+    return first.drop("__part", "__r").withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= keep)
 
 
 def directory_tree(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -145,16 +152,87 @@ def under_root(paths: DataFrame, roots: DataFrame, path: str, root: str, root_id
     no comparison of all paths with all roots.
     """
     clean = F.rtrim(F.replace(F.col(path), F.lit("\\"), F.lit("/")), F.lit("/"))
-    tagged = paths.withColumn("__p", clean).withColumn("__row", F.monotonically_increasing_id())
+    tagged = paths.withColumn("__p", clean)
     parts = F.split("__p", "/")
-    prefixes = tagged.select("__row", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("__root"))
+    prefixes = tagged.select("__p").distinct().select("__p", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("__root"))
     known = roots.select(F.rtrim(F.replace(F.col(root), F.lit("\\"), F.lit("/")), F.lit("/")).alias("__root"), F.col(root_id).alias("__id")).groupBy("__root").agg(F.min("__id").alias("__id"))
-    best = prefixes.join(known, "__root").groupBy("__row").agg(F.max_by("__id", F.length("__root")).alias("root_id"))
-    return tagged.join(best, "__row", "left").drop("__p", "__row")
+    best = prefixes.join(known, "__root").groupBy("__p").agg(F.max_by("__id", F.length("__root")).alias("root_id"))
+    return tagged.join(best, "__p", "left").drop("__p")
+
+
+def log_session(lines: DataFrame, number: str, text: str, marker: str, by: str | None = None) -> DataFrame:
+    """The lines (of each `by`) from the last one that contains `marker` on; all of them if none does."""
+    at = F.max(F.when(F.contains(F.col(text), F.lit(marker)), F.col(number))).alias("__last")
+    last = lines.groupBy(by).agg(at) if by else lines.agg(at)
+    both = lines.join(last, by, "left") if by else lines.crossJoin(F.broadcast(last))  # one row
+    return both.where(F.col("__last").isNull() | (F.col(number) >= F.col("__last"))).drop("__last")
+
+
+def log_tail(lines: DataFrame, number: str, k: int) -> DataFrame:
+    """The last `k` lines in order."""
+    return lines.orderBy(F.desc(number)).limit(k).orderBy(number)
+
+
+def tagged_lines(lines: DataFrame, text: str, tag: str) -> DataFrame:
+    """Lines with a `[tag]`; for the tag ERROR those with that word in large or small letters."""
+    c = F.col(text)
+    return lines.where(F.contains(c, F.lit("ERROR")) | F.contains(c, F.lit("error")) if tag.upper() == "ERROR" else F.contains(c, F.lit(f"[{tag}]")))
+
+
+# Extensions that count as images.
+IMAGES = ("png", "jpg", "jpeg", "tiff", "tif", "bmp", "webp")
+
+
+def image_files(files: DataFrame) -> DataFrame:
+    """One row `n`: active files with the extension of an image, in any case."""
+    return active(files).where(F.lower("file_ext").isin(*IMAGES)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def last_scan(settings: DataFrame, prefix: str = "last_scan_") -> DataFrame:
+    """One row `last_scan`: the greatest number among settings whose key begins with `prefix`; null without any."""
+    return settings.where(F.startswith("key", F.lit(prefix))).agg(F.max(F.expr("try_cast(value as bigint)")).alias("last_scan"))
+
+
+def file_detail(files: DataFrame, key: str) -> DataFrame:
+    """One file's columns (none if it is unknown), `indexed` as a boolean."""
+    return files.where(F.col("id") == key).withColumn("indexed", F.col("indexed") == 1)
+
+
+def files_of(files: DataFrame, directory: str) -> DataFrame:
+    """The files of one directory by path."""
+    return files.where(F.col("dir_id") == directory).orderBy("path", "id")
+
+
+def list_files(files: DataFrame, page: int = 1, size: int = 50, directory: str | None = None) -> DataFrame:
+    """One page of files, whatever their state, by path."""
+    rows = files if directory is None else files.where(F.col("dir_id") == directory)
+    return rows.orderBy("path", "id").offset((max(1, page) - 1) * max(0, size)).limit(max(0, size))
+
+
+def type_list(types: DataFrame, which: str = "all") -> DataFrame:
+    """Rows `ext`, `n`, `available` of all types, of those whose reader is `missing`, or of those that have `files`."""
+    return {"all": types, "missing": types.where(~F.col("available")), "files": types.where("n > 0")}[which]
+
+
+def subtree(tree: DataFrame, path: str) -> DataFrame:
+    """A directory of a tree and all directories below it."""
+    return tree.where((F.col("path") == path) | F.startswith("path", F.lit(path.rstrip("/") + "/")))
+
+
+def partly_selected(tree: DataFrame, chosen: list[str]) -> DataFrame:
+    """The directories above a chosen one that are not chosen themselves."""
+    above = sorted({"/".join(c.split("/")[:i]) for c in chosen for i in range(1, len(c.split("/")))} - set(chosen))
+    return tree.where(F.col("path").isin(above))
+
 
+def scan_delta(summaries: DataFrame) -> DataFrame:
+    """Changes of several directories (`dir_id`, `change`, `n`) in one row per change."""
+    return summaries.groupBy("change").agg(F.sum("n").alias("n"))
 
-def log_session(lines: DataFrame, number: str, text: str, marker: str) -> DataFrame:
-    """The lines from the last one that contains `marker` on; all of them if none does."""
-    last = lines.where(F.contains(F.col(text), F.lit(marker))).agg(F.max(number).alias("m")).first()["m"]
-    return lines if last is None else lines.where(F.col(number) >= last)
 
+def count_files(listing: DataFrame, seconds: float = 3.0) -> int:
+    """The number of files of a listing if it can be counted within `seconds`, else 0 for not known; only progress bars use it."""
+    rdd = listing.where("not is_dir").rdd
+    estimate = rdd._to_java_object_rdd().countApprox(int(seconds * 1000), 0.95)
+    known = estimate.initialValue()
+    return int(known.mean()) if known.confidence() == 1.0 else 0

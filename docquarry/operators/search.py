@@ -6,7 +6,7 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import analysis as A
@@ -213,7 +213,11 @@ HIT = ("file_id", "file_name", "file_ext", "dir_id", "path", "mtime", "file_size
 def hits(corpus: Corpus, p: SearchParams) -> DataFrame:
     """One page of hits in order, with `rank` from 1 on; pages count from 1, a size of 0 gives none."""
     found = scored(corpus, p)
-    found = found.select(*[c for c in HIT if c in found.columns])
+    return paged(found.select(*[c for c in HIT if c in found.columns]), p)
+
+
+def paged(found: DataFrame, p: SearchParams) -> DataFrame:
+    """The page of a request among all matches."""
     if p.sort == "name":
         if p.name_cap is not None:
             found = found.orderBy(F.desc("score"), "file_id").limit(p.name_cap)
@@ -225,8 +229,6 @@ def hits(corpus: Corpus, p: SearchParams) -> DataFrame:
         keys = [F.desc("score"), F.asc("file_id")]
     first = (max(1, p.page) - 1) * p.size
     page = found.orderBy(*keys).limit(first + p.size)
-    from pyspark.sql import Window
-
     ranked = page.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))  # a page's rows, not the table's
     if p.sort in ("date", "size"):
         fetched = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+#: Bytes up to which a vanished file is looked for elsewhere; None looks for all.
 MOVE_LIMIT = 10 << 20
 
 
@@ -36,16 +37,17 @@ def absent(tracked: DataFrame, there: DataFrame, keys: tuple[str, ...] = ("dir_i
     return tracked.where("status = 'active'").join(there.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def moves(gone: DataFrame, new: DataFrame, limit: int = MOVE_LIMIT) -> DataFrame:
+def moves(gone: DataFrame, new: DataFrame, limit: int | None = MOVE_LIMIT) -> DataFrame:
     """`id`, `old_path`, `new_path` of files that vanished and turned up elsewhere with the same name, size and hash.
 
     A vanished file takes the first new path and a new path the first file, both in order
-    of path, so equal candidates are paired one to one.  Larger files and files without
-    a hash are not looked at.
+    of path, so equal candidates are paired one to one.  Files above `limit` bytes and
+    files without a hash are not looked at.
     """
     keys = ["name", "size", "md5"]
-    old = gone.where((F.col("size") <= limit) & F.col("md5").isNotNull()).select("id", F.col("path").alias("old_path"), S.file_name("path").alias("name"), "size", "md5")
-    fresh = new.where((F.col("size") <= limit) & F.col("md5").isNotNull()).select(F.col("path").alias("new_path"), S.file_name("path").alias("name"), "size", "md5")
+    small = F.lit(True) if limit is None else F.col("size") <= limit
+    old = gone.where(small & F.col("md5").isNotNull()).select("id", F.col("path").alias("old_path"), S.file_name("path").alias("name"), "size", "md5")
+    fresh = new.where(small & F.col("md5").isNotNull()).select(F.col("path").alias("new_path"), S.file_name("path").alias("name"), "size", "md5")
     old = old.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("old_path", "id")))
     fresh = fresh.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("new_path")))
     return old.join(fresh, [*keys, "n"]).select("id", "old_path", "new_path")
@@ -106,3 +108,40 @@ def to_extract(files: DataFrame, contents: DataFrame) -> DataFrame:
     """One row per content hash that has to be read: no stored content has it."""
     wanted = files.where("md5 is not null").groupBy("md5").agg(F.min("path").alias("path"))
     return wanted.join(contents.select("md5").distinct(), "md5", "left_anti")
+
+
+def relocated(state: DataFrame, moved: DataFrame) -> DataFrame:
+    """The tracked rows after moves (`id`, `dir_id`, `path`, `mtime`): a moved file keeps its id, hash and index state; a null part stays as it was."""
+    new = moved.groupBy("id").agg(F.max(F.struct("dir_id", "path", "mtime")).alias("__m"))
+    out = state.join(new, "id", "left")
+    for c in ("dir_id", "path", "mtime"):
+        out = out.withColumn(c, F.coalesce(F.col("__m")[c], F.col(c)))
+    if "file_ext" in state.columns:
+        out = out.withColumn("file_ext", F.when(F.col("__m").isNotNull(), S.extension_of("path")).otherwise(F.col("file_ext")))
+    return out.select(*state.columns)
+
+
+def without_contents(contents: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The stored contents without those of some `md5`, so that they are read anew."""
+    return contents.join(hashes.select("md5").where("md5 is not null").distinct(), "md5", "left_anti")
+
+
+def upserted(table: DataFrame, rows: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """A keyed table (embeddings, summaries) after new rows: the row with the greatest `version` of a key counts, without one any of the new ones."""
+    rest = [c for c in table.columns if c != key]
+    order = F.struct(*([F.col(version)] if version else []), *[F.col(c).cast("string") for c in rest])
+    last = rows.select(*table.columns).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(key, *[F.col(f"__r.`{c}`").alias(c) for c in rest])
+    return table.join(last.select(key), key, "left_anti").select(*table.columns).unionByName(last.select(*table.columns))
+
+
+def without_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """A keyed table without some keys."""
+    return table.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def purged(state: DataFrame, globs: list[str], include: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The tracked rows that exclusions (and inclusions, if any) still allow, and the others."""
+    out = S.is_excluded("path", globs)
+    if include:
+        out = out | ~F.coalesce(S.extension_of("path").isin([e.lower() for e in include]), F.lit(False))
+    return state.where(~out), state.where(out)
