@@ -76,6 +76,36 @@ def kind_name(ext: Column | str) -> Column:
     return out
 
 
+# Office extensions that a converter could read.
+CONVERTIBLE = ("wps", "et", "dps", "rtf", "odg", "odf", "sxw", "sxc", "sxi", "wpt")
+
+
+def is_convertible(ext: Column | str) -> Column:
+    """Whether a converter would make a file of this extension readable."""
+    return F.coalesce(F.lower(_c(ext)).isin(*CONVERTIBLE), F.lit(False))
+
+
+def unsupported_hint(ext: Column | str, converter: bool) -> Column:
+    """What to do about files that can't be read, with a converter or without."""
+    return F.when(is_convertible(ext), "index it by hand" if converter else "install a converter to index it").otherwise("no reader")
+
+
+def dependency(ext: Column | str) -> Column:
+    """What a file of this extension needs to be read: converter (office), recogniser (images, recordings) or nothing ('')."""
+    kind = kind_name(ext)
+    return F.when(kind.isin("Word", "Excel", "PowerPoint"), "converter").when((kind == "Image") | (classify_ext(ext) == "audio"), "recogniser").otherwise("")
+
+
+def available(ext: Column | str, converter: bool, recogniser: bool) -> Column:
+    need = dependency(ext)
+    return (need == "") | ((need == "converter") & F.lit(converter)) | ((need == "recogniser") & F.lit(recogniser))
+
+
+def shown_time(micros: Column | str) -> Column:
+    """A time in microseconds as yyyy-MM-dd HH:mm:ss of the session's zone; null for null."""
+    return F.date_format(F.timestamp_micros(_c(micros)), "yyyy-MM-dd HH:mm:ss")
+
+
 def is_supported(ext: Column | str) -> Column:
     return classify_ext(ext) != "unknown"
 

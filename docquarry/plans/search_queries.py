@@ -165,7 +165,7 @@ PAIRS = {
     "match_all_page": (_hits(cols=("file_id", "score", "rank"), query="", size=15, page=3), _all_sql("true") + ", o as (select file_id, score, row_number() over (order by file_id) rank from s) select file_id, score, rank from o where rank > 30 and rank <= 45"),
     "sort_date": (_hits(cols=("file_id", "score", "rank"), query="", sort="date", ascending=True, size=10, page=2), _sorted_sql("mtime asc nulls last", page=2)),
     "sort_size": (_hits(cols=("file_id", "score", "rank"), query="", sort="size", size=10), _sorted_sql("file_size desc nulls last")),
-    "sort_name_capped": (_hits(cols=("file_id", "rank"), query="", sort="name", ascending=True, size=10), _all_sql("true") + ", c as (select * from s order by score desc, file_id limit 10000), o as (select file_id, row_number() over (order by lower(file_name), file_id) rank from c) select file_id, rank from o where rank <= 10"),
+    "sort_name_capped": (_hits(cols=("file_id", "rank"), query="", sort="name", ascending=True, size=10, name_cap=300), _all_sql("true") + ", c as (select * from s order by score desc, file_id limit 300), o as (select file_id, row_number() over (order by lower(file_name), file_id) rank from c) select file_id, rank from o where rank <= 10"),
     "page_offset": (_hits(cols=("file_id", "score", "rank"), query="museum", size=7, page=3), _bm25_sql(_any("museum"), _both("museum"), rest=", o as (select file_id, score, row_number() over (order by score desc, file_id) rank from s) select file_id, score, rank from o where rank > 14 and rank <= 21")),
     "total_hits": (total_hits, f"with {_DOCS} select count(*) total from docs where {_any('budget')} or {_any('garden')}"),
     "suggest_prefix": (suggest_prefix, f"with {_DOCS}, f as (select file_id, file_name from docs where len(list_filter(t, lambda x: starts_with(x, 'insur'))) > 0 order by file_id limit 10) select file_name, min(file_id) first_id from f group by 1"),
@@ -173,7 +173,8 @@ PAIRS = {
     "corpus_stats": (corpus_stats, f"with {_DOCS} select count(*) n_docs, round(avg(len(t)), 6) avg_dl, cast(sum(len(t)) as bigint) n_tokens from docs"),
     "term_df": (term_df, f"with {_DOCS}, e as (select file_id, unnest(t) term from docs) select term, count(distinct file_id) df, count(*) cf from e group by 1 order by df desc, term limit 200"),
     "postings": (postings_positions, f"with {_DOCS}, e as (select file_id, len(t) dl, unnest(t) term, generate_subscripts(t, 1) - 1 p from docs) select term, file_id, count(*) tf, dl, string_agg(cast(p as varchar), ',' order by p) places from e where term in ('budget', 'album') group by term, file_id, dl"),
-    "match_counts": (match_counts, None),
+    # each "ana" is an "an" with an "a" or another "an" after it
+    "match_counts": (match_counts, "with p as (select doc_id file_id, string_split(replace(lower(text), 'an', chr(1)), chr(1)) x from documents), c as (select file_id, len(x) - 1 + len(list_filter(x[2:], lambda y: starts_with(y, 'a'))) + len(list_filter(x[2:-2], lambda y: y = '')) n from p) select file_id, n from c where n > 0"),
     "cosine_topk": (cosine_topk, _NEAR + "20"),
     "vector_norms": (vector_norms, "select vec_id, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) norm, 1.0 unit from embeddings"),
     "rrf_fusion": (rrf_fusion, _FUSE),

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +28,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the shared folder of spark.checkpoint.dir.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    The folder is read from the session.  Only where the session names none (a
-    local test) a temporary folder of this machine is set.
+    Where the session names none, a temporary folder of this machine serves a local
+    session (as in tests) and is an error on a cluster.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/docquarry-{spark.sparkContext.applicationId}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"docquarry-{uuid.uuid4().hex}"))
+        context.setCheckpointDir(f"{shared_root(df.sparkSession)}/checkpoints")
     return df.checkpoint()
