@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from .operators.index import Index
+from .operators.search import SearchParams
 from .session import local_session
 
 
@@ -23,9 +24,8 @@ def main(argv: list[str] | None = None) -> int:
         row = index.health().first()
         print(f"version {row['version']}: {row['docs']} documents, {row['terms']} terms, {row['files']} files, {'healthy' if row['healthy'] else 'BROKEN'}")
         return 0 if row["healthy"] else 1
-    names = index.store.current("docs").select("file_id", "file_name", "file_ext")
-    top = index.search(args.query.lower() if args.query.islower() else args.query, args.limit)
-    for r in top.join(names, "file_id").orderBy(top["score"].desc(), "file_id").collect():
+    params = SearchParams(args.query.lower() if args.query.islower() else args.query, size=args.limit)
+    for r in index.reader().hits(params).orderBy("rank").collect():
         print(f"{r['file_name']} ({r['file_ext']}): {r['score']:.2f}")
     return 0
 

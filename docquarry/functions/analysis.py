@@ -61,24 +61,24 @@ def html_escape(c: Column | str) -> Column:
     return out
 
 
-def highlight(text: Column | str, terms: list[str], tag: str = "b") -> Column:
-    """HTML-escaped text with the terms in tags, whatever their case (at most 20 terms)."""
+def highlight(text: Column | str, terms: list[str], tag: str = "b", most: int | None = 20) -> Column:
+    """HTML-escaped text with the terms in tags, whatever their case (the `most` longest; None: all)."""
     safe = html_escape(text)
     if not terms:
         return safe
-    either = "|".join(re.escape(t) for t in sorted(set(terms), key=len, reverse=True)[:20])
+    either = "|".join(re.escape(t) for t in sorted(set(terms), key=len, reverse=True)[:most])
     return F.regexp_replace(safe, rf"(?iu)(?<![\p{{L}}\p{{N}}])({either})(?![\p{{L}}\p{{N}}])", f"<{tag}>$1</{tag}>")
 
 
-def snippet(text: Column | str, terms: list[str], width: int = 150) -> Column:
+def snippet(text: Column | str, terms: list[str], width: int = 150, most: int | None = 20) -> Column:
     """About `width` characters around the first term found, highlighted; the beginning if none is."""
     c = F.coalesce(_c(text), F.lit(""))
     if not terms:
         return highlight(F.left(c, F.lit(width)), [])
     low = F.lower(c)
-    at = F.array_min(F.filter(F.array(*[F.instr(low, t) for t in terms[:20]]), lambda i: i > 0))
+    at = F.array_min(F.filter(F.array(*[F.instr(low, t) for t in terms[:most]]), lambda i: i > 0))
     start = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - width // 3)
-    return highlight(c.substr(start, F.lit(width)), terms)
+    return highlight(c.substr(start, F.lit(width)), terms, most=most)
 
 
 def match_count(text: Column | str, terms: list[str]) -> Column:

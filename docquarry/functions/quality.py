@@ -45,9 +45,9 @@ def is_repetitive(text: Column | str) -> Column:
 _PASSING = re.compile(r"\s+|http\S*|[0-9A-Fa-f]{30,}|(?=\d)(?:[\d.]*[-:][\d.:-]*|(?=[\d.]*\.)[\d.]{8,}|\d{1,4}(?![\d.:-]))")
 
 
-def page_stamp(text: str | None) -> str:
-    """What is left of a page's first 300 characters without what differs from page to page."""
-    return re.sub(r"(?:\d*\.)+\Z", "", _PASSING.sub("", (text or "")[:300]))
+def page_stamp(text: str | None, first: int | None = 300) -> str:
+    """What is left of a page's `first` characters (None: of all) without what differs from page to page."""
+    return re.sub(r"(?:\d*\.)+\Z", "", _PASSING.sub("", (text or "")[:first]))
 
 
 @F.pandas_udf(T.StringType())
@@ -55,8 +55,8 @@ def page_stamps(text: pd.Series) -> pd.Series:
     return text.map(page_stamp)
 
 
-def decode_bytes(raw: bytes | None, limit: int = 10 << 20) -> str:
-    """Text of a plain file: byte-order marks, UTF-8, binary (NUL early on) as '', GBK, else the reading with fewer losses."""
+def decode_bytes(raw: bytes | None, limit: int | None = 10 << 20) -> str:
+    """Text of the first `limit` bytes (None: all) of a plain file: byte-order marks, UTF-8, binary (NUL early on) as '', GBK, else the reading with fewer losses."""
     if not raw:
         return ""
     raw = raw[:limit]

@@ -163,9 +163,11 @@ def to_absolute(root: Column | str, relative: Column | str) -> Column:
     return F.concat(F.rtrim(_c(root), F.lit("/")), F.lit("/"), _c(relative))
 
 
-def content_hash(content: Column | str, part: int = 1 << 20, limit: int = 100 << 20) -> Column:
-    """MD5 of a binary; above `limit` bytes, of its first and last `part` bytes."""
+def content_hash(content: Column | str, part: int = 1 << 20, limit: int | None = 100 << 20) -> Column:
+    """MD5 of a binary; above `limit` bytes (None: never), of its first and last `part` bytes."""
     b = _c(content)
+    if limit is None:
+        return F.md5(b)
     return F.when(F.octet_length(b) > limit, F.md5(F.concat(F.substring(b, 1, part), F.substring(b, -part, part)))).otherwise(F.md5(b))
 
 

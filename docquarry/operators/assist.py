@@ -35,10 +35,10 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
-def embedded(docs: DataFrame, embed: Embedder | None, key: str = "file_id", text: str = "content", limit: int = 8000, batch: int = 32) -> DataFrame:
-    """`key`, `embedding` of every non-blank text; no rows without a client, none for texts it fails on."""
+def embedded(docs: DataFrame, embed: Embedder | None, key: str = "file_id", text: str = "content", limit: int | None = 8000, batch: int = 32) -> DataFrame:
+    """`key`, `embedding` of every non-blank text; no rows without a client, none for texts it fails on.  Clients take the first `limit` characters (None: all)."""
     kind = docs.schema[key].dataType.simpleString()
-    some = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.left(text, F.lit(limit)).alias("t"))
+    some = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), (F.col(text) if limit is None else F.left(text, F.lit(limit))).alias("t"))
     if embed is None:
         some = some.limit(0)
 
@@ -52,9 +52,9 @@ def embedded(docs: DataFrame, embed: Embedder | None, key: str = "file_id", text
     return some.mapInPandas(run, f"k {kind}, v array<float>").withColumnsRenamed({"k": key, "v": "embedding"})
 
 
-def summarised(docs: DataFrame, cache: DataFrame, chat: Chat | None, limit: int = 8000) -> DataFrame:
-    """`file_id`, `summary`: cached ones, and new ones of other non-blank texts (their first `limit` characters)."""
-    new = docs.where(F.length(F.trim("content")) > 0).join(cache.select("file_id"), "file_id", "left_anti").select("file_id", F.left("content", F.lit(limit)).alias("t"))
+def summarised(docs: DataFrame, cache: DataFrame, chat: Chat | None, limit: int | None = 8000) -> DataFrame:
+    """`file_id`, `summary`: cached ones, and new ones of other non-blank texts (their first `limit` characters; None: all)."""
+    new = docs.where(F.length(F.trim("content")) > 0).join(cache.select("file_id"), "file_id", "left_anti").select("file_id", (F.col("content") if limit is None else F.left("content", F.lit(limit))).alias("t"))
     if chat is None:
         new = new.limit(0)
     kind = docs.schema["file_id"].dataType.simpleString()

@@ -44,9 +44,10 @@ def live_only(vectors: DataFrame, key: str, docs: DataFrame) -> DataFrame:
     return vectors.join(docs.select(key).distinct(), key, "left_semi")
 
 
-def context(docs: DataFrame, ids: Sequence, per_doc: int = 2000, limit: int = 24_000) -> DataFrame:
-    """One row `context`: the texts of the given documents under their paths, cut to `per_doc` each and `limit` in all."""
-    part = F.concat(F.lit("【"), F.col("path"), F.lit("】\n"), F.left("content", F.lit(per_doc)))
+def context(docs: DataFrame, ids: Sequence, per_doc: int | None = 2000, limit: int | None = 24_000) -> DataFrame:
+    """One row `context`: the texts of the given documents under their paths, cut to `per_doc` characters each and `limit` in all (None: not cut)."""
+    part = F.concat(F.lit("【"), F.col("path"), F.lit("】\n"), F.col("content") if per_doc is None else F.left("content", F.lit(per_doc)))
     chosen = docs.where(F.col("file_id").isin(list(ids)) & (F.length(F.trim("content")) > 0)).select("file_id", part.alias("p"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("file_id", "p"))), lambda x: x["p"])
-    return chosen.agg(F.left(F.array_join(listed, "\n\n---\n\n"), F.lit(limit)).alias("context"))
+    whole = F.array_join(listed, "\n\n---\n\n")
+    return chosen.agg((whole if limit is None else F.left(whole, F.lit(limit))).alias("context"))

@@ -120,3 +120,9 @@ def unpack(df: DataFrame, field: str, brackets: bool = False, nested: bool = Fal
     split = df.select(row.alias("row"), tokens(F.col(f"`{field}`"), brackets, nested).alias("values"))
     each = split.select("row", F.posexplode("values").alias("pos", "val"))
     return each.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], (F.col("pos") + 1).alias(pos), F.col("val").alias(val))
+
+
+def valid_globs(values: Column | str) -> Column:
+    """The array's values that are patterns: those with an unclosed bracket are dropped."""
+    c = F.col(values) if isinstance(values, str) else values
+    return F.filter(c, lambda x: (x != "") & ~F.regexp_replace(x, r"\[[!^]?\]?[^\]]*\]", "").contains("["))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import unpack
 from ..operators.references import Target, broken_references, latest_state, month_of_seconds
-from ..session import table
+from ..session import checkpointed, table
 
 
 def _broken(spark: SparkSession, d: str) -> DataFrame:
-    files = latest_state(table(spark, d, "file_tracking"), "id", "updated_at", ["id", "dir_id", "md5", "status", "created_at", "updated_at", "path"])
+    # the states are referred from twice and referred to once: they are made once
+    files = checkpointed(latest_state(table(spark, d, "file_tracking"), "id", "updated_at", ["id", "dir_id", "md5", "status", "created_at", "updated_at"]))
     dead = F.lower(F.btrim("status")) == "deleted"
     dirs, contents = table(spark, d, "dir_config"), table(spark, d, "content_index").select("md5", "indexed_at")
     errors = table(spark, d, "index_errors").select(F.col("id").cast("string").alias("id"), "file_id", "created_at")

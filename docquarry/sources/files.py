@@ -13,6 +13,7 @@ import re
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
@@ -22,13 +23,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pdf
+from ..functions import media
 from ..functions.quality import decode_bytes
 from ..functions.scalars import EXCLUDED_FIRST, EXCLUDED_NAMES, EXCLUDED_SUFFIXES, FAMILIES
 
 LISTING = "dir_id string, path string, name string, is_dir boolean, size bigint, mtime bigint"
 SUPPORTED = frozenset(e for names in FAMILIES.values() for e in names.split())
-# Limits of archives in bytes and entries.
-ARCHIVE_TOTAL, ARCHIVE_FILES, ARCHIVE_ENTRY = 100 << 20, 1000, 50 << 20
+
+
+@dataclass(frozen=True)
+class ArchiveLimits:
+    """Bytes of all entries, their number, and bytes of one; what is beyond gets a row with its reason.  None: no limit."""
+
+    total: int | None = 100 << 20
+    files: int | None = 1000
+    entry: int | None = 50 << 20
+
+
 
 #: Optional readers by family ("pdf", "image", "audio") or extension; each takes bytes and a language.
 Backend = Callable[[bytes, str], str]
@@ -179,7 +190,7 @@ def rtf_text(raw: bytes) -> str:
     return re.sub(r"[{}]", "", re.sub(r"\\[a-zA-Z]+-?\d*\s?|\\[^a-zA-Z]", "", s)).strip()
 
 
-def _members(raw: bytes, name: str) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
+def _members(raw: bytes, name: str, most: int | None = None) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
     low = name.lower()
     opened = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}
     if low.endswith(".zip"):
@@ -193,21 +204,21 @@ def _members(raw: bytes, name: str) -> Iterator[tuple[str, int, Callable[[], byt
                 if i.isfile():
                     yield i.name, i.size, lambda i=i: t.extractfile(i).read()
     elif extension(low) in opened:
-        data = opened[extension(low)](io.BytesIO(raw)).read(ARCHIVE_ENTRY + 1)
+        data = opened[extension(low)](io.BytesIO(raw)).read(-1 if most is None else most + 1)
         yield name[: name.rindex(".")], len(data), lambda: data
     else:
         raise ValueError(f"no archive: {name}")
 
 
-def archive_entries(raw: bytes, name: str, backends: dict[str, Backend] | None = None, lang: str = "eng") -> list[tuple[str, str, str | None]]:
+def archive_entries(raw: bytes, name: str, backends: dict[str, Backend] | None = None, lang: str = "eng", limits: ArchiveLimits = ArchiveLimits()) -> list[tuple[str, str, str | None]]:
     """(entry name, text, reason it was skipped) of each file in an archive, within the limits of size and number."""
     out, total = [], 0
-    for i, (entry, size, read) in enumerate(_members(raw, name)):
-        if i >= ARCHIVE_FILES or total + size > ARCHIVE_TOTAL:
+    for i, (entry, size, read) in enumerate(_members(raw, name, limits.entry)):
+        if (limits.files is not None and i >= limits.files) or (limits.total is not None and total + size > limits.total):
             out.append((entry, "", "limit"))
             break
         total += size
-        if size > ARCHIVE_ENTRY:
+        if limits.entry is not None and size > limits.entry:
             out.append((entry, "", "too large"))
             continue
         ext = extension(entry)
@@ -228,9 +239,10 @@ def archive_entries(raw: bytes, name: str, backends: dict[str, Backend] | None =
 def extract(raw: bytes, name: str, lang: str = "eng", backends: dict[str, Backend] | None = None, archives: bool = True) -> str:
     """The text of a file by its extension.
 
-    Images and audio need a backend; without one they give ''.  A PDF gives its text layer;
-    a backend for it comes first, and one for scanned pages can be tried where that is ''.  An unknown extension
-    is read as text and is an error if that gives none.
+    Images ("image") and recordings ("audio", or "speech" for pieces of them) need a backend;
+    without one they give ''.  A PDF gives its text layer; a backend "pdf" comes first, and
+    where the layer is '' those named in `pdf.best_text` are tried.  An unknown extension is
+    read as text and is an error if that gives none.
     """
     ext = extension(name)
     family = next((f for f, names in FAMILIES.items() if ext in names.split()), "unknown")
@@ -238,7 +250,9 @@ def extract(raw: bytes, name: str, lang: str = "eng", backends: dict[str, Backen
         if backends and key in backends:
             return backends[key](raw, lang)
     if family == "pdf":
-        return pdf.text(raw)
+        return pdf.best_text(raw, backends, lang)
+    if family == "audio" and backends and "speech" in backends and ext == "wav":
+        return " ".join(t for piece in media.wav_pieces(raw) if (t := backends["speech"](piece, lang).strip()))
     if family in ("image", "audio"):
         return ""
     if ext == "rtf":
@@ -256,11 +270,11 @@ def extract(raw: bytes, name: str, lang: str = "eng", backends: dict[str, Backen
     return text
 
 
-def file_hash(path: str, part: int = 1 << 20, limit: int = 100 << 20) -> str:
-    """MD5 of a file; above `limit` bytes, of its first and last `part` bytes."""
+def file_hash(path: str, part: int = 1 << 20, limit: int | None = 100 << 20) -> str:
+    """MD5 of a file; above `limit` bytes (None: never), of its first and last `part` bytes."""
     digest = hashlib.md5()
     with open(path, "rb") as f:
-        if os.path.getsize(path) > limit:
+        if limit is not None and os.path.getsize(path) > limit:
             digest.update(f.read(part))
             f.seek(-part, os.SEEK_END)
         for block in iter(lambda: f.read(1 << 20), b""):
@@ -271,14 +285,54 @@ def file_hash(path: str, part: int = 1 << 20, limit: int = 100 << 20) -> str:
 READ = "md5 string, text_content string, char_count bigint, error string"
 
 
-def read_texts(files: DataFrame, backends: dict[str, Backend] | None = None, lang: str = "eng") -> DataFrame:
-    """`md5`, `text_content`, `char_count`, `error` of files (`md5`, absolute `path`): one file is read for each hash."""
+#: Office formats that only a converter reads, and how many files one run of it takes.
+LEGACY, ROUND = frozenset({"doc", "xls", "ppt", "wps", "et", "dps"}), 32
+#: Paths and seconds to the text of each path that could be converted.
+Converter = Callable[[list[str], float], dict[str, str]]
+
+
+def conversion_rounds(paths: list[str], most: int = ROUND) -> list[list[str]]:
+    """Paths in rounds of at most `most` files whose names differ without extension, as a converter writes by name."""
+    rounds: list[tuple[set, list[str]]] = []
+    for p in paths:
+        stem = PurePosixPath(p).stem.lower()
+        place = next((r for r in rounds if len(r[1]) < most and stem not in r[0]), None)
+        if place is None:
+            rounds.append(place := (set(), []))
+        place[0].add(stem)
+        place[1].append(p)
+    return [r for _, r in rounds]
+
+
+def convert_all(paths: list[str], convert: Converter) -> dict[str, str | Exception]:
+    """Text or error of each path; one process a round, with 30 seconds and 15 for each file, 600 at most."""
+    out: dict[str, str | Exception] = {}
+    for part in conversion_rounds(paths):
+        try:
+            done = convert(part, min(30.0 + 15 * len(part), 600.0))
+        except Exception as e:
+            done = dict.fromkeys(part, e)
+        out |= {p: done.get(p, ValueError("not converted")) for p in part}
+    return out
+
+
+def read_texts(files: DataFrame, backends: dict[str, Backend] | None = None, lang: str = "eng", convert: Converter | None = None) -> DataFrame:
+    """`md5`, `text_content`, `char_count`, `error` of files (`md5`, absolute `path`): one file is read for each hash.
+
+    Legacy office files go to `convert` many at a time; without it each is an error.
+    """
     one = files.where("md5 is not null").groupBy("md5").agg(F.min("path").alias("path"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
+            legacy = [p for p in b["path"] if convert and extension(p) in LEGACY]
+            converted = convert_all(legacy, convert) if legacy else {}
             for md5, path in b.itertuples(index=False):
+                if path in converted:
+                    made = converted[path]
+                    rows.append((md5, None, None, f"{type(made).__name__}: {made}") if isinstance(made, Exception) else (md5, made, len(made), None))
+                    continue
                 try:
                     with open(path, "rb") as f:
                         text = extract(f.read(), path, lang, backends)

@@ -12,4 +12,7 @@ from docquarry.session import local_session  # noqa: E402
 def spark():
     session = local_session("4", 4)
     session.sparkContext.setLogLevel("ERROR")
+    # tables of a few rows: compiling each plan would take longer than running it
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     return session
