@@ -232,7 +232,6 @@ def scan_delta(summaries: DataFrame) -> DataFrame:
 
 def count_files(listing: DataFrame, seconds: float = 3.0) -> int:
     """The number of files of a listing if it can be counted within `seconds`, else 0 for not known; only progress bars use it."""
-    rdd = listing.where("not is_dir").rdd
-    estimate = rdd._to_java_object_rdd().countApprox(int(seconds * 1000), 0.95)
-    known = estimate.initialValue()
-    return int(known.mean()) if known.confidence() == 1.0 else 0
+    partial = listing.where("not is_dir")._jdf.toJavaRDD().countApprox(int(seconds * 1000), 0.95)
+    found = partial.initialValue()
+    return int(found.mean()) if found.low() == found.high() else 0

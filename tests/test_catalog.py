@@ -133,3 +133,61 @@ def test_stream_equals_batch(spark, tmp_path):
     n = store.version()
     watch.upkeep(stream, lambda: roots, store, str(tmp_path / "cp")).awaitTermination()
     assert store.version() == n
+
+
+def test_moves_purges_and_keyed_tables(spark):
+    cols = "id string, dir_id string, path string, file_ext string, mtime long, size long, md5 string, status string, indexed int"
+    state = spark.createDataFrame([("1", "d", "a/x.txt", "txt", 1, 5, "m", "active", 1), ("2", "d", "y.md", "md", 1, 5, None, "active", 2), ("3", "d", "IMG_1.png", "png", 1, 5, "k", "active", 1)], cols)
+    moved = spark.createDataFrame([("1", "e", "b/x.pdf", None)], "id string, dir_id string, path string, mtime long")
+    row = N.relocated(state, moved).where("id = '1'").first()
+    assert (row["dir_id"], row["path"], row["file_ext"], row["mtime"], row["indexed"]) == ("e", "b/x.pdf", "pdf", 1, 1)
+    assert N.relocated(state, moved.limit(0)).count() == 3 and N.relocated(state.limit(0), moved).count() == 0
+    kept, gone = N.purged(state, ["IMG_*"], ["TXT"])
+    assert [r["id"] for r in kept.collect()] == ["1"] and {r["id"] for r in gone.collect()} == {"2", "3"}
+    contents = spark.createDataFrame([("m",), ("k",)], "md5 string")
+    assert [r[0] for r in N.without_contents(contents, state.where("id in ('1', '2')")).collect()] == ["k"]
+    vectors = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1)], "k string, x double, at int")
+    new = spark.createDataFrame([("b", 5.0, 2), ("b", 6.0, 3), ("c", None, 1)], "k string, x double, at int")
+    assert {r["k"]: r["x"] for r in N.upserted(vectors, new, "k", "at").collect()} == {"a": 1.0, "b": 6.0, "c": None}
+    assert [r["k"] for r in N.without_keys(vectors, new, "k").collect()] == ["a"]
+
+
+def test_reports_on_small_tables(spark):
+    files = spark.createDataFrame([("1", "d", "p/a.PNG", "PNG", "active", 1), ("2", "d", "b.txt", "txt", "active", 0), ("3", "e", "c.png", "png", "deleted", 1), ("4", "d", "d.jpeg", "jpeg", "active", None)], "id string, dir_id string, path string, file_ext string, status string, indexed int")
+    assert C.image_files(files).first()["n"] == 2
+    settings = spark.createDataFrame([("last_scan_a", "5"), ("last_scan_b", "12"), ("last_scan_c", "x"), ("other", "99")], "key string, value string")
+    assert C.last_scan(settings).first()[0] == 12 and C.last_scan(settings.limit(0)).first()[0] is None
+    assert C.file_detail(files, "1").first()["indexed"] is True and C.file_detail(files, "9").count() == 0
+    assert [r["id"] for r in C.files_of(files, "d").collect()] == ["2", "4", "1"] and [r["id"] for r in C.list_files(files, 2, 2).collect()] == ["4", "1"] and C.list_files(files, 1, 0).count() == 0
+    lines = spark.createDataFrame([(1, "start [scan]"), (2, "ERROR x"), (3, "an error"), (4, "end")], "n int, t string")
+    assert [r["n"] for r in C.log_tail(lines, "n", 2).collect()] == [3, 4] and C.tagged_lines(lines, "t", "error").count() == 2 and C.tagged_lines(lines, "t", "scan").count() == 1
+    assert C.log_session(lines, "n", "t", "an error").count() == 2 and C.log_session(lines, "n", "t", "none").count() == 4 and C.log_session(lines.limit(0), "n", "t", "x").count() == 0
+    tree = C.directory_tree(spark.createDataFrame([("a/b/c/x",), ("a/bc/y",), ("z",)], "path string"))
+    assert {r["path"] for r in C.subtree(tree, "a/b").collect()} == {"a/b", "a/b/c"} and {r["path"] for r in C.partly_selected(tree, ["a/b/c"]).collect()} == {"a", "a/b"}
+    types = spark.createDataFrame([("txt", 2, True), ("doc", 0, False)], "ext string, n int, available boolean")
+    assert [C.type_list(types, w).count() for w in ("all", "missing", "files")] == [2, 1, 1]
+    listing = files.select("path", F.lit(False).alias("not_dir")).withColumn("is_dir", F.lit(False))
+    assert C.count_files(listing, 30) == 4
+    kept = C.retained(files.withColumn("at", F.lit(1)), "at", "id", 2, by="dir_id").collect()
+    assert sorted((r["id"], r["rank"]) for r in kept) == [("1", 1), ("2", 2), ("3", 1)] and C.retained(files.withColumn("at", F.lit(1)), "at", "id", 3).count() == 3
+
+
+def test_paths_under_roots_follow_the_path(spark):
+    """Repeated, null and reordered paths get the root of their own path."""
+    rows = [(i, f"/r{i % 7}/sub/f{i}") for i in range(200)] * 2 + [(999, None), (998, "/none")]
+    roots = spark.createDataFrame([(f"id{i}", f"/r{i}") for i in range(7)] + [("deep", "/r1/sub/")], "id string, path string")
+    got = C.under_root(spark.createDataFrame(rows, "n int, p string").repartition(5), roots, "p", "path", "id").collect()
+    assert len(got) == len(rows) and all(r["root_id"] == (None if r["n"] > 900 else "deep" if r["n"] % 7 == 1 else f"id{r['n'] % 7}") for r in got)
+
+
+def test_failed_files_wait_and_listings_make_events(spark):
+    cols = "dir_id string, path string, id string, mtime long, size long, md5 string, status string, indexed int, updated_at long"
+    state = spark.createDataFrame([("d", "bad", "1", 1, 1, None, "active", 2, 1), ("d", "good", "2", 1, 1, None, "active", 1, 1)], cols)
+    events = spark.createDataFrame([("d", p, a, 9, 9, None) for p, a in (("bad", "upsert"), ("good", "upsert"))], "dir_id string, path string, action string, mtime long, size long, md5 string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    after = {r["path"]: (r["indexed"], r["size"]) for r in watch.applied(state, events).collect()}
+    assert after == {"bad": (2, 1), "good": (0, 9)}
+    assert {r["path"]: r["indexed"] for r in watch.applied(state, events, retry_failed=True).collect()} == {"bad": 0, "good": 0}
+    gone = watch.applied(state, events.where("path = 'bad'").withColumn("action", F.lit("delete")))
+    assert {r["path"]: r["status"] for r in gone.collect()} == {"bad": "deleted", "good": "active"}
+    before, now = spark.createDataFrame([("/a", 1, 1), ("/b", 1, 1), ("/c", 1, 1)], "path string, mtime long, size long"), spark.createDataFrame([("/a", 1, 1), ("/b", 2, 1), ("/d", 1, 1)], "path string, mtime long, size long")
+    assert {(r["path"], r["kind"]) for r in watch.listing_events(before, now, "2024-01-01").collect()} == {("/b", "modify"), ("/c", "remove"), ("/d", "create")}
