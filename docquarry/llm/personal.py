@@ -437,6 +437,14 @@ def found(df: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
     return one.withColumnRenamed("key", key)
 
 
+def report(df: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
+    """`kind`, `candidates`, `kept`: spans that were proposed, and those left after the classifier and overlaps; names by shape are names."""
+    kind = F.when(F.col("kind") == "shape", "name").otherwise(F.col("kind")).alias("kind")
+    proposed = candidates(df, key, text).groupBy(kind).agg(F.count(F.lit(1)).alias("candidates"))
+    kept = found(df, key, text, least).groupBy("kind").agg(F.count(F.lit(1)).alias("kept"))
+    return proposed.join(kept, "kind", "left").select("kind", "candidates", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 def masked(df: DataFrame, key: str, text: str) -> DataFrame:
     """`key` and `masked`: each text (of a unique key) with a typed placeholder in the place of every span."""
     by_doc = found(df, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("s"))

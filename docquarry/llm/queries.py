@@ -121,5 +121,10 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.masked(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_links, p3_members, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks, p10_found, p10_masked)}
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates of each kind the classifier keeps."""
+    return personal.report(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_links, p3_members, p3_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_turns, p7_found, p7_restored, p8_windows, p8_report, p9_found, p9_leaks, p10_found, p10_masked, p10_report)}
 ORACLE = {"p5_found": "select distinct md5 from content_index where length(text_content) > 4000"}

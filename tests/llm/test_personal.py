@@ -113,3 +113,9 @@ def test_a_phone_number_ends_before_the_next_line():
 def test_a_number_above_is_no_part_of_a_phone_number():
     text = "52 Lantern Way, Torramer, ZZ 42802\n020 7946 0227"
     assert [text[x.start : x.end] for x in P.spans(text, frozenset(["phone"]))] == ["020 7946 0227"]
+
+
+def test_report_counts_what_is_rejected(spark, found):
+    df = spark.createDataFrame(rows(), "id long, t string, kind string")
+    got = {r["kind"]: (r["candidates"], r["kept"]) for r in P.report(df, "id", "t").collect()}
+    assert set(got) <= set(P.KINDS) and all(0 <= kept <= n for n, kept in got.values()) and got["name"][0] > got["name"][1] > 0
