@@ -341,8 +341,8 @@ CLEAN, RATE = 2, 0.2
 LEAST_TEXTS, RATIO, RATIO_UNIT = 5, 5, 20
 #: The most frequent known words, which save asking for each of their places; all others are asked for by joins.
 MAX_WORDS = 50_000
-#: Pairs of words are counted if their code falls into a slot that some open decision needs.
-SLOTS = 1 << 16
+#: Pairs of words are counted if their code falls into a slot (a power of 2 of them) that some open decision needs.
+SLOTS = 1 << 22
 
 _LONGER = (("w", "vv"), ("d", "ox"), ("ﬁ", "fx"), ("ﬂ", "fx"))
 _SAME = (("il1|rnuüím", "x"), ("ec(o0a6éóákä", "o"), ("t", "f"), ("q", "g"), ("b8", "h"), ("y", "v"), ("5", "s"), ("2", "z"))
@@ -434,28 +434,39 @@ def _pair_codes(left: pa.Array, right: pa.Array) -> np.ndarray:
     return mix(word_codes(left) * np.uint64(3) + word_codes(right)).view(np.int64)
 
 
-def _pair_counts(df: DataFrame, text: str, ocr: str, codes: DataFrame) -> DataFrame:
-    """`code`, `met`: how often each wanted pair of neighbouring words is met in scanned texts, once being enough."""
-    slots = np.zeros(SLOTS, bool)
-    slots[[r[0] for r in codes.select(F.pmod("code", F.lit(SLOTS))).distinct().collect()]] = True
+def _slots(codes: DataFrame) -> np.ndarray:
+    """One bit for each of SLOTS, set if a wanted `code` falls into it; the driver gets at most SLOTS / 64 rows."""
+    slot = F.pmod("code", F.lit(SLOTS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(code, {SLOTS}) % 64 as int))")
+    bits = np.zeros(SLOTS // 64, np.int64)
+    for at, mask in codes.groupBy(F.floor(slot / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("mask")).collect():
+        bits[at] = mask
+    return bits
+
+
+def _pair_counts(df: DataFrame, text: str, codes: DataFrame) -> DataFrame:
+    """`code`, `met`: how often each wanted pair of neighbouring words is met in all texts, once being enough; a text's ends are no neighbours."""
+    bits = _slots(codes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
-            split = pc.split_pattern_regex(pc.utf8_lower(b.column(0).cast(pa.large_string())), pattern=r"[^\p{L}]+")
+            split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(b.column(0).cast(pa.large_string()), "")), pattern=r"[^\p{L}]+")
             hashed, owner = word_codes(split.values), np.repeat(np.arange(b.num_rows), np.diff(np.asarray(split.offsets)))
-            pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:]).view(np.int64)[owner[:-1] == owner[1:]]
-            pair, n = np.unique(pair[slots[pair % SLOTS]], return_counts=True)
+            full = np.asarray(pc.not_equal(split.values, ""))
+            pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:]).view(np.int64)[(owner[:-1] == owner[1:]) & full[:-1] & full[1:]]
+            pair, n = np.unique(pair[slots[pair & (SLOTS - 1)]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["code", "met"])
 
-    met = scanned(df, text, ocr).select(text).mapInArrow(count, "code bigint, met bigint").groupBy("code").agg(F.sum("met").alias("met"))
+    met = df.select(text).mapInArrow(count, "code bigint, met bigint").groupBy("code").agg(F.sum("met").alias("met"))
     return met.join(codes, "code", "left_semi")
 
 
-def decisions(df: DataFrame, text: str, ocr: str, asks: DataFrame, total: DataFrame) -> DataFrame:
+def decisions(df: DataFrame, text: str, asks: DataFrame, total: DataFrame) -> DataFrame:
     """`low`, `before`, `after`, `better`: the word that was probably printed, for each asked place that has one.
 
     Where several words are possible all counts of their pairs with the neighbours decide,
-    however small; they are looked up by joins, and nothing of them is held by the driver
+    however small and in whatever text; they are looked up by joins, and nothing of them is held by the driver
     but which of SLOTS are wanted.
     """
     can = _possible(asks, total)
@@ -471,7 +482,7 @@ def decisions(df: DataFrame, text: str, ocr: str, asks: DataFrame, total: DataFr
     codes = places.where("open").select(F.explode(F.array("l", "r")).alias("code")).distinct()
     score = 0.5 * F.log("n") - 8 * F.col("d")
     if not codes.isEmpty():
-        met = checkpointed(_pair_counts(df, text, ocr, codes))
+        met = checkpointed(_pair_counts(df, text, codes))
         for side in "lr":
             places = places.join(met.select(F.col("code").alias(side), F.col("met").alias(f"met_{side}")), side, "left")
             score += F.log1p(F.coalesce(f"met_{side}", F.lit(0)))
@@ -575,7 +586,7 @@ def damage(df: DataFrame, key: str, text: str, ocr: str, lexicon: Lexicon | None
     total = counted(df, text, ocr)
     asks = _asks(df, key, text, ocr, F.monotonically_increasing_id(), total)
     places = asks.where("low is not null")
-    found = places.join(decisions(df, text, ocr, places, total), ["low", "before", "after"])
+    found = places.join(decisions(df, text, places, total), ["low", "before", "after"])
     same = F.expr("coalesce(get(filter(sequence(1, least(length(better), length(low))), i -> substr(better, i, 1) <> substr(low, i, 1)), 0) - 1, least(length(better), length(low)))")
     line = F.when((F.col("head") == 0) | (same < F.col("head")), F.col("line")).otherwise(F.col("next"))
     chars = found.select("page", "key", line.alias("line"), F.lit("chars").alias("kind")).distinct()
@@ -594,7 +605,7 @@ def paragraphs(df: DataFrame, key: str, text: str, ocr: str, lexicon: Lexicon |
         return _pages(df, key, text, ocr, lexicon, schema, lambda _, paragraphs_, n: [("\n\n".join(paragraphs_), n)])
     total = counted(df, text, ocr)
     places = _asks(df, key, text, ocr, F.md5(F.col(text)), total).where("low is not null")
-    taken = places.join(decisions(df, text, ocr, places, total), ["low", "before", "after"]).groupBy("page").agg(F.collect_set(F.struct("line", "at", "head", "read", "better")).alias("repairs"))
+    taken = places.join(decisions(df, text, places, total), ["low", "before", "after"]).groupBy("page").agg(F.collect_set(F.struct("line", "at", "head", "read", "better")).alias("repairs"))
     source = scanned(df, text, ocr).select(F.col(f"`{key}`").alias("key"), F.col(text).alias("text"), F.col(ocr).alias("ocr"), F.md5(F.col(text)).alias("page")).join(taken, "page", "left")
     kind = df.schema[key].dataType.simpleString()
 

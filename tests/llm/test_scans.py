@@ -108,6 +108,14 @@ def test_a_pair_met_once_decides(spark):
     assert "friendly lodger remains" in text["bad"] and chars == {("bad", 2)}
 
 
+def test_pairs_of_clean_texts_decide(spark):
+    """Pairs are counted in all texts, clean ones and null included, and the end of a text is no neighbour."""
+    rows = texts("The ledger. The ledger and the lodger.", 20, 3000) + texts("The ledger.", 30, 0)
+    rows += [("seen", "A friendly lodger came. He stayed.", 0), ("null", None, 0), ("end", SCAN.format("other") + " A ledger", 1)]
+    text, chars = repaired(spark, [*rows, ("bad", SCAN.format("friendly lcdger"), 1)])
+    assert "friendly lodger remains" in text["bad"] and chars == {("bad", 2)}
+
+
 CAPITALS = "ANNUAL REPORT  1\n\nTHE MAINTENANCE CONTRACT DESCRIBED THE NETWORK\nDIAGRAM.\n\nANNUAL REPORT  2\n\nTHE OFFICE REMAINS OPEN.\n\n- 7 -\n"
 CHINESE = "第一章的内容在这里写着。\n\n- 12 -\n\n第二章的内容也在这里。\n\n- 13 -\n"
 NARROW = "The mainte-\nnance contract\nis open.\n\n[16]\n"
